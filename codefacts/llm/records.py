@@ -41,7 +41,10 @@ def _tables() -> dict[str, np.ndarray]:
         one = bits.copy()
         for _ in range(BLOCK):
             one = t[one & 0xFF] ^ (one >> 8)
-        _TABLES.update(byte=t, place=place)
+        init = np.full(BLOCK, 0xFFFFFFFF, dtype=np.uint32)  # the starting value after so many zero bytes
+        for i in range(1, BLOCK):
+            init[i] = t[init[i - 1] & 0xFF] ^ (init[i - 1] >> 8)
+        _TABLES.update(place=place, init=init)
         for k in range(40):
             # four tables: the shifted CRC is the XOR of one entry for each of its bytes
             tab = np.zeros((4, 256), dtype=np.uint32)
@@ -57,50 +60,56 @@ def _shift(crc: np.ndarray, tab: np.ndarray) -> np.ndarray:
     return tab[0][crc & 0xFF] ^ tab[1][crc >> 8 & 0xFF] ^ tab[2][crc >> 16 & 0xFF] ^ tab[3][crc >> 24]
 
 
-def crc32c(data: bytes) -> int:
-    """CRC-32C (Castagnoli): blocks in parallel, then joined in pairs."""
+def crc32c(items: list[bytes]) -> np.ndarray:
+    """CRC-32C (Castagnoli) of each item, all at once.
+
+    Items are cut into blocks (zeros before the first change nothing), whose CRCs are looked up
+    place by place; a block's share of the item's CRC is its own, shifted by the blocks after it.
+    """
     t = _tables()
-    head = len(data) % BLOCK
-    crc = 0xFFFFFFFF
-    byte = t["byte"]
-    for b in data[:head]:
-        crc = int(byte[(crc ^ b) & 0xFF]) ^ (crc >> 8)
-    blocks = np.frombuffer(data, dtype=np.uint8, offset=head).reshape(-1, BLOCK)
-    if len(blocks):
-        own = np.zeros(len(blocks), dtype=np.uint32)
-        for i in range(BLOCK):
-            own ^= t["place"][i][blocks[:, i]]
-        own[0] ^= _shift(np.array([crc], dtype=np.uint32), t["shift0"])[0]
-        k = 0
-        while len(own) > 1:
-            if len(own) % 2:
-                own = np.concatenate([np.zeros(1, dtype=np.uint32), own])
-            own = _shift(own[0::2], t[f"shift{k}"]) ^ own[1::2]
-            k += 1
-        crc = int(own[0])
-    return crc ^ 0xFFFFFFFF
-
-
-def masked(data: bytes) -> int:
-    """The checksum of a frame: rotated and offset, so that framed CRCs don't cancel in a CRC over them."""
-    c = crc32c(data)
-    return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
-
-
-def frame(payload: bytes) -> bytes:
-    n = struct.pack("<Q", len(payload))
-    return b"".join([n, struct.pack("<I", masked(n)), payload, struct.pack("<I", masked(payload))])
-
-
-def unframe(data: bytes) -> bytes:
-    """The payload of one framed record; ValueError if a length or checksum is wrong."""
-    (n,) = struct.unpack_from("<Q", data)
-    if struct.unpack_from("<I", data, 8)[0] != masked(data[:8]) or len(data) != n + 16:
-        raise ValueError("damaged record length")
-    payload = data[12 : 12 + n]
-    if struct.unpack_from("<I", data, 12 + n)[0] != masked(payload):
-        raise ValueError("damaged record")
-    return payload
+    n = np.array([len(x) for x in items], dtype=np.int64)
+    blocks = np.maximum(-(-n // BLOCK), 1)
+    pads = [bytes(BLOCK)[: k] for k in (blocks * BLOCK - n).tolist()]
+    grid = np.frombuffer(b"".join([y for x in zip(pads, items, strict=True) for y in x]), dtype=np.uint8).reshape(-1, BLOCK).T.copy()
+    own = np.zeros(grid.shape[1], dtype=np.uint32)
+    for i in range(BLOCK):
+        own ^= t["place"][i][grid[i]]
+    ends = np.cumsum(blocks)
+    own = _shifted(own, np.repeat(ends, blocks) - np.arange(len(own)) - 1)
+    start = _shifted(t["init"][n % BLOCK], n // BLOCK)
+    return np.bitwise_xor.reduceat(own, ends - blocks) ^ start ^ np.uint32(0xFFFFFFFF)
+
+
+def _shifted(crc: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Each CRC after so many blocks of zeros."""
+    t, k = _tables(), 0
+    while (blocks >> k).any():
+        at = np.flatnonzero(blocks >> k & 1)
+        crc[at] = _shift(crc[at], t[f"shift{k}"])
+        k += 1
+    return crc
+
+
+def masked(items: list[bytes]) -> np.ndarray:
+    """The checksums of frames: rotated and offset, so that framed CRCs don't cancel in a CRC over them."""
+    c = crc32c(items)
+    return (c >> np.uint32(15) | c << np.uint32(17)) + np.uint32(0xA282EAD8)
+
+
+def frames(payloads: list[bytes]) -> list[bytes]:
+    heads = [struct.pack("<Q", len(p)) for p in payloads]
+    one, two = (masked(x).astype("<u4").tobytes() for x in (heads, payloads))
+    return [b"".join([h, one[4 * i : 4 * i + 4], p, two[4 * i : 4 * i + 4]]) for i, (h, p) in enumerate(zip(heads, payloads, strict=True))]
+
+
+def unframes(records: list[bytes]) -> list[bytes]:
+    """The payloads of framed records; ValueError if a length or checksum is wrong."""
+    heads, payloads = [r[:8] for r in records], [r[12:-4] for r in records]
+    one, two = (masked(x).astype("<u4").tobytes() for x in (heads, payloads))
+    for i, (r, h, p) in enumerate(zip(records, heads, payloads, strict=True)):
+        if struct.unpack("<Q", h)[0] != len(p) or r[8:12] != one[4 * i : 4 * i + 4] or r[-4:] != two[4 * i : 4 * i + 4]:
+            raise ValueError("damaged record")
+    return payloads
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -124,16 +133,15 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             for a, b in chunks(texts, 4_000_000):
                 if data is None:
                     data, index = open_write(f"{name}.rec"), open_write(f"{name}.idx")
-                out, places = [], []
+                payloads, places = [], []
                 for key, ids in zip(keys[a:b], model.encode(texts[a:b]), strict=True):
                     ids += tail
                     n = len(ids) // 4
                     body = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if width == 2 else ids
-                    rec = frame(struct.pack(HEAD, key is not None, key or 0, width, n) + body)
-                    places += [at, len(rec) - 16]
-                    out.append(rec)
-                    at, records, tokens = at + len(rec), records + 1, tokens + n
-                data.write(b"".join(out))
+                    payloads.append(struct.pack(HEAD, key is not None, key or 0, width, n) + body)
+                    places += [at, len(payloads[-1])]
+                    at, records, tokens = at + len(payloads[-1]) + 16, records + 1, tokens + n
+                data.write(b"".join(frames(payloads)))
                 index.write(np.array(places, dtype="<u8").tobytes())
         if data is not None:
             data.close()
@@ -164,21 +172,24 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 data, index = paths[i]
                 with open_read(index) as f:
                     places = np.frombuffer(f.read(), dtype="<u8").reshape(-1, 2).astype(np.int64).tolist()
-                start, rows = base[i], []
+                start, held, size = base[i], [], 0
                 with open_read(data) as f:
-                    held = 0
                     for k, (offset, n) in enumerate(places):
                         f.seek(offset)
-                        payload = unframe(f.read(n + 16))
-                        known, key, width, m = struct.unpack_from(HEAD, payload)
-                        ids = payload[struct.calcsize(HEAD) :]
-                        if width == 2:
-                            ids = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                        rows.append((key if known else None, start, m, ids))
-                        start, held = start + m, held + len(ids)
-                        if held > 8_000_000 or k == len(places) - 1:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
-                            rows, held = [], 0
+                        held.append(f.read(n + 16))
+                        size += n
+                        if size < 8_000_000 and k < len(places) - 1:
+                            continue
+                        rows = []
+                        for payload in unframes(held):
+                            known, key, width, m = struct.unpack_from(HEAD, payload)
+                            ids = payload[struct.calcsize(HEAD) :]
+                            if width == 2:
+                                ids = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+                            rows.append((key if known else None, start, m, ids))
+                            start += m
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
+                        held, size = [], 0
 
     return spark.range(0, len(paths), 1, max(1, len(paths))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
