@@ -8,12 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import table
+from codefacts.llm import linededup
+from codefacts.llm.common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.quality import fitted, scored
+
+    docs = table(spark, sf_dir, "documents")
+    got = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.packing import packed
 
@@ -27,6 +42,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), digests=True)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.langid import identified, profiles
+
+    docs = table(spark, sf_dir, "documents")
+    got = identified(docs, profiles(docs.where(~held_out("doc_id"))))
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.linededup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("clean_md5"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.records import token_records
 
@@ -35,9 +64,13 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
+    "op8_lines": op8_lines,
     "op10_records": op10_records,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_lines": linededup.oracle()}
