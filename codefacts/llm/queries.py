@@ -29,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.embdedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.packing import packed
 
@@ -56,6 +62,12 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("clean_md5"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.records import token_records
 
@@ -66,10 +78,12 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
     "op8_lines": op8_lines,
+    "op9_nearest": op9_nearest,
     "op10_records": op10_records,
 }
 
