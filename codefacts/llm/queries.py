@@ -35,6 +35,12 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codefacts.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.packing import packed
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_embeddings": op3_embeddings,
+    "op4_archives": op4_archives,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_language": op7_language,
@@ -87,4 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_records": op10_records,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_lines": linededup.oracle()}
+#: op4 needs no archive to be checked: what the archives must say is a matter of the pages.
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+q AS (SELECT page_id, n, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS kept FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN kept END AS refers_to
+FROM q
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_archives": OP4_SQL, "op8_lines": linededup.oracle()}
