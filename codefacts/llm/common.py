@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -40,7 +42,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and safe against lost executors."""
     path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: what a writer holds of wide rows stays small
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +81,34 @@ def chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]
         yield at, len(texts)
 
 
+def annotated(docs: DataFrame, of: Callable[[], Callable[[list[str]], dict[str, list]]], new: str, text: str = "text", size: int = 2_000_000) -> DataFrame:
+    """docs with new columns (a DDL string) computed from its texts; columns of those names are replaced.
+
+    ``of`` is called once in each task and gives a function from texts (null: empty) to columns.
+    No shuffle, and rows stay whole.
+    """
+    added = StructType.fromDDL(new)
+    kept = [f for f in docs.schema.fields if f.name not in added.names]
+    at = [f.name for f in kept].index(text) if text in [f.name for f in kept] else -1
+    d = docs if at >= 0 else docs.withColumn("__text", F.col(text))
+    source = spread(d.select(*[F.col(f"`{f.name}`") for f in kept], *([] if at >= 0 else ["__text"])))
+    names = [*(f.name for f in kept), *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = of()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at if at >= 0 else batch.num_columns - 1).to_pylist()]
+            for a, b in chunks(texts, size):
+                got = work(texts[a:b])
+                old = [c.slice(a, b - a) for c in batch.columns[: len(kept)]]
+                yield pa.RecordBatch.from_arrays([*old, *(pa.array(got[n], _ARROW[added[n].dataType.simpleString()]) for n in added.names)], names=names)
+
+    return source.mapInArrow(run, StructType([*kept, *added.fields]))
+
+
+_ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the least node reachable.
 

@@ -7,14 +7,14 @@ where the language lacks it. N-grams are integers, counted by sorting arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import spread
+from codefacts.llm.common import annotated, spread
 
 SIZE = 300
 STEP = 1 << 22  # characters counted at once
@@ -117,19 +117,21 @@ class Ranks:
         return self.names[best], 1.0 - float(away[best]) / (self.size * len(top))
 
 
-def identified(docs: DataFrame, found: dict[str, np.ndarray], size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row.
+def identified(docs: DataFrame, found: dict[str, np.ndarray], size: int = SIZE, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score for every row (columns of those names are replaced).
 
     score is 1 less the share of the largest possible out-of-place distance. Equal distances go
     to the first language by name. A text that is null or has no letter, and any text where no
     language was learned, is ``und`` with score 0. The whole text counts.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of() -> Callable[[list[str]], dict[str, list]]:
         model = Ranks(found, size)
-        for batch in batches:
-            got = [model.guess(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return spread(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+        def work(texts: list[str]) -> dict[str, list]:
+            got = [model.guess(t) for t in texts]
+            return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+
+        return work
+
+    return annotated(docs, of, "lang_pred string, score double", text)

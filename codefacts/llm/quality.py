@@ -8,14 +8,14 @@ the document; forward-backward marginals of "good", weighted by line length, are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import chunks, held_out, spread
+from codefacts.llm.common import annotated, held_out
 
 TRAIN_DOCS = 3000  # labelled documents that the model is fitted on, at most
 CLASSES = 9  # lower, upper, digit, space, sentence mark, shout mark, bar, other letter, other
@@ -238,18 +238,13 @@ def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, text: st
     return Crf.fit(np.concatenate(xs), doc, y)
 
 
-def scored(docs: DataFrame, model: Crf | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score) of every row: 0 to 1, higher for good. Null and empty texts are one blank line.
+def scored(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
+    """docs with a score for every row, 0 to 1, higher for good (a column ``score`` is replaced).
 
-    Without a model (nothing to learn from) every score is 0.5.
+    Null and empty texts are one blank line. Without a model (nothing to learn from) every score is 0.5.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, 1_000_000):
-                s = np.full(b - a, 0.5) if model is None else np.clip(model.scores(texts[a:b]), 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s, pa.float64())], names=["doc_id", "score"])
+    def of() -> Callable[[list[str]], dict[str, list]]:
+        return lambda texts: {"score": np.full(len(texts), 0.5) if model is None else np.clip(model.scores(texts), 0.0, 1.0)}
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return spread(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    return annotated(docs, of, "score double", text, 1_000_000)

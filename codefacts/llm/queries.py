@@ -19,7 +19,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.quality import fitted, scored
 
     docs = table(spark, sf_dir, "documents")
-    got = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    got = scored(docs.select("doc_id", "text"), fitted(docs, table(spark, sf_dir, "labels")))
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -58,7 +58,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codefacts.llm.langid import identified, profiles
 
     docs = table(spark, sf_dir, "documents")
-    got = identified(docs, profiles(docs.where(~held_out("doc_id"))))
+    got = identified(docs.select("doc_id", "text"), profiles(docs.where(~held_out("doc_id"))))
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
