@@ -1,3 +1,395 @@
-"""Queries on the driver's tables."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""The engine's operators on the driver's tables, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codefacts.functions import sets, text
+from codefacts.operators import hierarchy, reports, symbols
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("line"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
+SELECT doc_id, line_no::INT AS line_no, md5(x) AS line_md5,
+  coalesce(sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_pos
+FROM l""")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines and their byte offsets, inside the row."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(text.lines(F.col("text"))).alias("l")).select("doc_id", "l.line_no", F.md5("l.text").alias("line_md5"), "l.byte_pos")
+
+
+@query("""
+SELECT doc_id, coalesce(len(list_filter(h, lambda x: contains(x, 'licen'))) > 0, false) AS has_licence, coalesce(len(list_filter(h, lambda x: contains(x, 'rights'))) > 0, false) AS has_rights
+FROM (SELECT doc_id, list_slice(string_split(lower(text), chr(10)), 1, 15) AS h FROM documents)""")
+def header_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """two phrases, perhaps on different ones of the first 15 lines."""
+    head = F.slice(F.split(F.lower("text"), "\n", -1), 1, 15)
+    d = read(spark, sf_dir, "documents")
+
+    def has(phrase: str) -> Column:
+        return F.exists(head, lambda x: F.contains(x, F.lit(phrase)))
+
+    return d.select("doc_id", has("licen").alias("has_licence"), has("rights").alias("has_rights"))
+
+
+@query("""
+SELECT page_id, url, regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]\\.([A-Za-z0-9]+)$', 1) AS ext FROM pages
+WHERE NOT regexp_matches(url, '^https?://blog\\.') AND regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]\\.([A-Za-z0-9]+)$', 1) IN ('html', 'php')""")
+def extension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension and exclude filters; both are column expressions over one scan."""
+    p = read(spark, sf_dir, "pages").withColumn("ext", text.extension(F.col("url")))
+    return p.where(F.col("ext").isin("html", "php") & ~F.col("url").rlike(r"^https?://blog\.")).select("page_id", "url", "ext")
+
+
+@query("""
+SELECT page_id, CASE
+  WHEN regexp_matches(p, '^(?:/en/.*/archive)(/|$)') THEN true
+  WHEN regexp_matches(p, '^(?:/fr)(/|$)') OR regexp_matches(p, '^(?:/de)(/|$)') THEN false ELSE true END AS enabled
+FROM (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS p FROM pages)""")
+def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the deepest matching rule decides."""
+    p = read(spark, sf_dir, "pages").withColumn("p", F.regexp_replace("url", "^https?://[^/]*", ""))
+    return p.select("page_id", reports.path_rules(p, "p", [("/fr", False), ("/de", False), ("/en/*/archive", True)]).alias("enabled"))
+
+
+@query("""
+SELECT source, lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1""")
+def keep_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: of the rows with one key the longest, by one aggregation."""
+    d = read(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
+    return symbols.keep_longest(d, ["source", "lang"], "n_chars", "doc_id")
+
+
+@query("""
+SELECT user_id, max_by(value, (ts, event_id)) AS last_value FROM (SELECT user_id, value, ts, event_id FROM events) GROUP BY user_id""".replace("max_by(value, (ts, event_id))", "arg_max(value, (ts, event_id))"))
+def last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the last write of each key."""
+    return symbols.last_writer(read(spark, sf_dir, "events"), ["user_id"], F.col("value"), F.struct("ts", "event_id"), "last_value")
+
+
+@query("""
+WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t, list_sort(list_distinct(list(event_type) FILTER (WHERE value > 50))) AS h FROM events GROUP BY user_id)
+SELECT user_id, array_to_string(t, '|') AS types, array_to_string(list_sort(list_intersect(t, coalesce(h, []))), '|') AS high_types,
+  array_to_string(list_sort(list_filter(t, lambda x: NOT list_contains(coalesce(h, []), x))), '|') AS low_only,
+  (len(t) = 0 OR len(list_filter(t, lambda x: contains(x, 'null') OR contains(x, 'mixed'))) > 0) AS may_be_null FROM s""")
+def type_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: unions, intersections and differences of sets."""
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(sets.gathered(F.col("event_type")).alias("t"), sets.gathered(F.when(F.col("value") > 50, F.col("event_type"))).alias("h"))
+    return e.select("user_id", F.array_join("t", "|").alias("types"), F.array_join(sets.intersect(F.col("t"), F.col("h")), "|").alias("high_types"), F.array_join(sets.erase(F.col("t"), F.col("h")), "|").alias("low_only"), sets.may_be_null(F.col("t")).alias("may_be_null"))
+
+
+@query("""
+SELECT l_orderkey, count(*) AS n_branches, count(*) FILTER (WHERE l_returnflag = 'N') = count(*) AS always, bool_or(l_returnflag = 'N') AS sometimes,
+  bit_or(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::INT AS flags FROM lineitem GROUP BY l_orderkey""")
+def all_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds in all branches, in some, and the union of their flags."""
+    n = F.col("l_returnflag") == "N"
+    flag = F.when(F.col("l_returnflag") == "A", 1).when(n, 2).otherwise(4)
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_branches"), (F.count_if(n) == F.count("*")).alias("always"), F.bool_or(n).alias("sometimes"), F.bit_or(flag).alias("flags"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def anti_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that nothing declares."""
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that something declares."""
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi")
+
+
+@query("""
+SELECT p.p_partkey AS use_key, q.p_partkey AS declared_key FROM part p JOIN (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name) q ON lower(p.p_type || ' ' || p.p_name) = lower(p.p_type) || ' ' || q.p_name WHERE p.p_type <> lower(p.p_type)""")
+def ci_name_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that match a declaration in all but case."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    declared = p.groupBy("p_name").agg(F.min("p_partkey").alias("declared_key")).withColumnRenamed("p_name", "symbol")
+    return symbols.lookup(p.withColumn("use", F.col("p_name")), declared, "use", "symbol").where(F.col("p_type") != F.lower("p_type")).select(F.col("p_partkey").alias("use_key"), "declared_key")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, count(*) AS n_args, max(l_linenumber) AS n_params FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, coalesce(n_args, 0) AS n_args, coalesce(n_params, 0)::BIGINT AS n_params FROM orders LEFT JOIN a ON o_orderkey = l_orderkey WHERE coalesce(n_args, 0) < coalesce(n_params, 1)""")
+def arity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with fewer arguments than parameters."""
+    a = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_args"), F.max("l_linenumber").alias("n_params"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey").join(a, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    n_args, n_params = F.coalesce("n_args", F.lit(0)), F.coalesce("n_params", F.lit(1))
+    return o.where(n_args < n_params).select("o_orderkey", n_args.cast("long").alias("n_args"), F.coalesce("n_params", F.lit(0)).cast("long").alias("n_params"))
+
+
+CLOSURE_EDGES = """SELECT DISTINCT child, parent FROM (
+  SELECT 'nation:' || n_nationkey AS child, 'region:' || n_regionkey AS parent FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
+  UNION ALL SELECT 'region:' || r_regionkey, 'world' FROM region)"""
+
+
+@query(f"""
+WITH RECURSIVE e AS ({CLOSURE_EDGES}), c(child, ancestor, depth) AS (
+  SELECT child, parent, 1::BIGINT FROM e UNION SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE c.depth < 64)
+SELECT child, ancestor, min(depth) AS depth FROM c GROUP BY child, ancestor""")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of a hierarchy by semi-naive rounds."""
+    n, c, r = (read(spark, sf_dir, t) for t in ("nation", "customer", "region"))
+
+    def edge(d: DataFrame, a: str, x: str, b: str, y: str) -> DataFrame:
+        return d.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("child"), (F.concat(F.lit(b), F.col(y).cast("string")) if y else F.lit(b)).alias("parent"))
+
+    edges = edge(n, "nation:", "n_nationkey", "region:", "n_regionkey").unionByName(edge(c, "customer:", "c_custkey", "nation:", "c_nationkey")).unionByName(edge(r, "region:", "r_regionkey", "world", ""))
+    return hierarchy.closure(edges)
+
+
+@query("""
+SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
+def rank_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first candidate by a composite rank, as an aggregation that needs no sort."""
+    best = F.min_by(F.struct("l_partkey", "l_linenumber"), F.struct((F.col("l_returnflag") != "N").cast("int"), "l_linenumber", "l_partkey", "l_suppkey"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.l_partkey", "b.l_linenumber")
+
+
+@query("""
+WITH h AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate)::BIGINT // 86400 AS a, epoch(o_orderdate)::BIGINT // 86400 + 30 AS b FROM orders)
+SELECT x.o_orderkey AS old_key, y.o_orderkey AS new_key FROM h x JOIN h y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a <= y.b AND x.b >= y.a""")
+def hunk_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges that overlap within one file."""
+    day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
+    h = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("a"), (day + 30).alias("b"))
+    x, y = h.alias("x"), h.alias("y")
+    on = (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("x.o_orderkey") < F.col("y.o_orderkey")) & reports.overlaps(F.col("x.a"), F.col("x.b"), F.col("y.a"), F.col("y.b"))
+    return x.join(y, on).select(F.col("x.o_orderkey").alias("old_key"), F.col("y.o_orderkey").alias("new_key"))
+
+
+L = "(SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents)"
+OLD = f"(SELECT source AS file, md5(line) AS hash FROM {L} WHERE doc_id IN (SELECT doc_id FROM labels))"
+NEW = f"(SELECT source AS file, md5(line) AS hash, doc_id FROM {L})"
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a document as a finding; those of labelled documents are the known ones."""
+    return _lines(read(spark, sf_dir, "documents")).select(F.col("source").alias("file"), F.md5("line").alias("hash"), "doc_id")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query(f"""
+WITH o AS (SELECT DISTINCT file, hash FROM {OLD}), n AS (SELECT DISTINCT file, hash FROM {NEW} WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT file, hash, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT file, hash, 'deleted' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two sets of findings have in addition to each other."""
+    old = _known(spark, sf_dir).select("file", "hash").distinct()
+    new = _findings(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("file", "hash").distinct()
+    return reports.report_diff(old, new, ["file", "hash"])
+
+
+@query(f"""
+WITH o AS (SELECT DISTINCT file, hash FROM {OLD}), n AS (SELECT DISTINCT file, hash FROM {NEW} WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+d AS (SELECT file, 'a' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT file, 'd' FROM (SELECT * FROM o EXCEPT SELECT * FROM n))
+SELECT file AS "check", count(*) FILTER (WHERE change = 'a') AS added, count(*) FILTER (WHERE change = 'd') AS deleted FROM d GROUP BY file""")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a difference."""
+    return reports.diff_summary(report_diff(spark, sf_dir), "file")
+
+
+@query(f"SELECT file, hash, count(*) AS cnt FROM {OLD} GROUP BY file, hash")
+def baseline_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each finding is known."""
+    return reports.baseline_build(_known(spark, sf_dir))
+
+
+@query(f"""
+WITH b AS (SELECT file, hash, count(*) AS cnt FROM {OLD} GROUP BY file, hash), n AS (SELECT *, row_number() OVER (PARTITION BY file, hash ORDER BY doc_id) AS k FROM {NEW})
+SELECT n.file, n.hash, n.doc_id FROM n LEFT JOIN b ON n.file = b.file AND n.hash = b.hash WHERE k > coalesce(cnt, 0)""")
+def baseline_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings beyond their known number."""
+    return reports.baseline_suppress(_findings(spark, sf_dir), reports.baseline_build(_known(spark, sf_dir)), ["doc_id"])
+
+
+@query(f"""
+WITH b AS (SELECT file, hash, count(*) AS cnt FROM {OLD} GROUP BY file, hash), n AS (SELECT *, row_number() OVER (PARTITION BY file, hash ORDER BY doc_id) AS k FROM {NEW}),
+s AS (SELECT CASE substr(n.hash, 1, 1) WHEN '0' THEN 1 WHEN '1' THEN 2 ELSE 3 END AS level FROM n LEFT JOIN b ON n.file = b.file AND n.hash = b.hash WHERE k > coalesce(cnt, 0))
+SELECT count(*) AS n_all, count(*) FILTER (WHERE level <> 3) AS n_critical, count(*) FILTER (WHERE level = 3) AS n_minor FROM s""")
+def baseline_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: new findings by severity."""
+    head = F.substring("hash", 1, 1)
+    return reports.severity_stats(baseline_suppress(spark, sf_dir).withColumn("level", F.when(head == "0", 1).when(head == "1", 2).otherwise(3)))
+
+
+@query("""
+SELECT user_id, count(*) AS n_all, count(*) FILTER (WHERE event_type = 'error') AS n_critical, count(*) FILTER (WHERE event_type <> 'error') AS n_minor FROM events GROUP BY user_id""")
+def severity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional counts in one pass."""
+    e = F.col("event_type") == "error"
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_all"), F.count_if(e).alias("n_critical"), F.count_if(~e).alias("n_minor"))
+
+
+@query("""
+SELECT md5(regexp_replace(lower(text), '[0-9]+', '0', 'g')) AS body, count(*) AS n_copies, min(doc_id) AS first_doc, (max(n_chars) * (count(*) - 1))::BIGINT AS score
+FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal normal forms, ranked by what they waste."""
+    body = F.md5(F.regexp_replace(F.lower("text"), "[0-9]+", "0"))
+    g = read(spark, sf_dir, "documents").groupBy(body.alias("body")).agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("first_doc"), F.max("n_chars").alias("n"))
+    return g.where("n_copies > 1").select("body", "n_copies", "first_doc", (F.col("n") * (F.col("n_copies") - 1)).alias("score"))
+
+
+@query("""
+SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations) WHERE n > 1""")
+def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that have come before in their list."""
+    w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
+    return read(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).where("n > 1").select("conv_id", "turn", "role")
+
+
+@query("""
+SELECT event_id, user_id FROM (SELECT event_id, user_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dead FROM events) WHERE dead = 1""")
+def running_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows an exit in its block - a join to the first exit, not a window over the block."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    first = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("u")).agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    return e.join(first, (F.col("user_id") == F.col("u")) & (F.struct("ts", "event_id") > F.col("at"))).select("event_id", "user_id")
+
+
+@query("""
+SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = 'assistant' AND d.turn < c.turn)""")
+def member_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a kind that come after the first of another kind."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    first = c.where("role = 'assistant'").groupBy(F.col("conv_id").alias("id")).agg(F.min("turn").alias("at"))
+    return c.where("role = 'user'").join(first, (F.col("conv_id") == F.col("id")) & (F.col("turn") > F.col("at"))).select("conv_id", "turn")
+
+
+@query("""
+SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt FROM conversations) WHERE nxt = role""")
+def lead_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case that runs into the next one."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return read(spark, sf_dir, "conversations").withColumn("nxt", F.lead("role").over(w)).where("nxt = role").select("conv_id", "turn", "role")
+
+
+@query("""
+SELECT user_id, min((ts, event_id)) FILTER (WHERE event_type = 'purchase') < min((ts, event_id)) FILTER (WHERE event_type = 'view') AS clobbered FROM events GROUP BY user_id""".replace("min((ts, event_id))", "min(row(ts, event_id))"))
+def overwrite_before_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written before anything read it."""
+    at = F.struct("ts", "event_id")
+    first = [F.min(F.when(F.col("event_type") == k, at)) for k in ("purchase", "view")]
+    return read(spark, sf_dir, "events").groupBy("user_id").agg((first[0] < first[1]).alias("clobbered"))
+
+
+@query("""
+SELECT DISTINCT b.l_orderkey, b.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity >= b.l_quantity AND a.l_shipdate <= b.l_shipdate""")
+def catch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause that an earlier one of its list covers."""
+    x = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    a = x.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("s"))
+    on = (F.col("l_orderkey") == F.col("k")) & (F.col("n") < F.col("l_linenumber")) & (F.col("q") >= F.col("l_quantity")) & (F.col("s") <= F.col("l_shipdate"))
+    return x.join(a, on, "left_semi").select("l_orderkey", "l_linenumber").distinct()
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey * 7 + l_suppkey) AS added, (l_partkey & 255) | (l_suppkey & 15) AS bits,
+  CASE WHEN l_linenumber = 0 THEN NULL ELSE l_partkey % l_linenumber END AS remainder, (l_linenumber > 3 AND l_suppkey > 50) AS both_true FROM lineitem""")
+def const_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10: arithmetic, bit and boolean folding."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (p * 7 + s).alias("added"), p.bitwiseAND(F.lit(255)).bitwiseOR(s.bitwiseAND(F.lit(15))).alias("bits"), F.try_mod(p, n.cast("long")).alias("remainder"), ((n > 3) & (s > 50)).alias("both_true"))
+
+
+@query(r"""
+SELECT doc_id, len(regexp_extract_all(text, '%(?:\d+\$)?[-+ 0]*(?:''.)?\d*(?:\.\d+)?[bcdeEfFgGosuxX%]'))::INT AS n_directives,
+  array_to_string(regexp_extract_all(text, '%(?:\d+\$)?[-+ 0]*(?:''.)?\d*(?:\.\d+)?[bcdeEfFgGosuxX%]'), ' ') AS directives FROM documents""")
+def printf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10: printf directives."""
+    d = text.directives(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(d).alias("n_directives"), F.array_join(d, " ").alias("directives"))
+
+
+TYPOS = {"onhe": "one", "thnt": "that", "ereson": "reason", "edtion": "edition", "inon": "union", "erti": "verti"}
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), t(typo, fixed) AS (VALUES %s)
+SELECT doc_id, typo, fixed, count(*) AS n FROM w JOIN t ON word = typo GROUP BY doc_id, typo, fixed""" % ", ".join(f"('{a}', '{b}')" for a, b in TYPOS.items()))
+def typo_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words against a dictionary that is a constant of the query."""
+    typos = spark.createDataFrame(list(TYPOS.items()), "typo string, fixed string")
+    w = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("typo"))
+    return w.join(F.broadcast(typos), "typo").groupBy("doc_id", "typo", "fixed").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT n_nationkey, replace(replace('$n belongs to $r ($n)', '$n', n_name), '$r', r_name) AS message FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def template_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: captures in a message."""
+    j = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("n_nationkey", text.template(F.lit("$n belongs to $r ($n)"), {"n": F.col("n_name"), "r": F.col("r_name")}).alias("message"))
+
+
+@query("""
+SELECT doc_id, repeat(' ', instr(line, ' ')::INT) || repeat('^', greatest(1, length(line) - instr(line, ' ')::INT)::INT) AS caret FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) WHERE line NOT LIKE '%' || chr(9) || '%'""")
+def caret_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the line under a finding's context."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("line")).where(~F.contains("line", F.lit("\t")))
+    return d.select("doc_id", text.caret(F.col("line"), F.instr("line", " "), F.length("line")).alias("caret"))
+
+
+@query("""SELECT event_id, (props->>'k')::BIGINT AS k, '{"event_id":' || event_id || ',"k":' || (props->>'k') || '}' AS encoded FROM events""")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: JSON read and written."""
+    k = F.from_json("props", "k long")["k"]
+    return read(spark, sf_dir, "events").select("event_id", k.alias("k"), F.to_json(F.struct("event_id", k.alias("k"))).alias("encoded"))
+
+
+@query("""
+SELECT user_id, event_type, count(*) AS n, rank() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY user_id, event_type""")
+def checker_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks with ties broken, after the aggregation."""
+    g = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return g.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")))
+
+
+@query("""
+SELECT s_suppkey, coalesce(a.n_name, b.n_name) AS found FROM (SELECT s_suppkey, 'NS_NATION_' || s_nationkey AS full_name, 'NATION_' || s_nationkey AS root_name FROM supplier)
+LEFT JOIN nation a ON lower(full_name) = lower(a.n_name) LEFT JOIN nation b ON lower(root_name) = lower(b.n_name)""")
+def namespace_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name in its namespace, else in the root."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("NS_NATION_"), F.col("s_nationkey").cast("string")).alias("full"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("root"))
+    n = read(spark, sf_dir, "nation").select("n_name", F.col("n_name").alias("found"))
+    return symbols.with_fallback(s, n, "full", "root", "n_name", "found").select("s_suppkey", "found")
+
+
+@query("""
+SELECT c_custkey, upper(hex(c_custkey * 2654435761)) AS as_hex, c_custkey * 2654435761 AS back FROM customer""")
+def base36_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers to base 36 and back."""
+    n = F.col("c_custkey") * F.lit(2654435761)
+    return read(spark, sf_dir, "customer").select("c_custkey", F.hex(n).alias("as_hex"), text.from_base36(text.base36(n)).cast("long").alias("back"))
