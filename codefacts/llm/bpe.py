@@ -28,7 +28,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
         model = bpe(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, 4_000_000):
+            for a, b in chunks(texts):
                 ids = model.encode(texts[a:b])
                 back = [model.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
                 one: list = ids

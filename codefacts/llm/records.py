@@ -130,7 +130,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
-            for a, b in chunks(texts, 4_000_000):
+            for a, b in chunks(texts):
                 if data is None:
                     data, index = open_write(f"{name}.rec"), open_write(f"{name}.idx")
                 payloads, places = [], []

@@ -3,8 +3,9 @@
 A sequence of tokens is what BPE yields for a word if every token is its own encoding and
 every adjacent pair is stable: undoing the merges from the border outwards, youngest first,
 never meets a pair that an older merge would have joined. Both are checked with array
-operations. Words that fail (and any text with unusual white space or characters) are
-merged exactly by the tokenizers library, so ids equal the library's in every case.
+operations. Words that fail are
+merged exactly, all failing words at once: in each the pair of least rank, until none is left.
+Texts with unusual white space or characters go to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from array import array
 
 import numpy as np
 
-CACHE = 400_000  # chunks that a worker remembers; beyond it, chunks are encoded again
+CACHE = 280_000  # chunks that a worker remembers; beyond it, chunks are encoded again
 _LOADED: dict[str, Bpe] = {}
 
 
@@ -67,7 +68,8 @@ class Bpe:
         _, first = np.unique(product_, return_index=True)
         self.left[product_[first]], self.right[product_[first]] = keys_[first] // size, keys_[first] % size
         at = np.argsort(keys_, kind="stable")
-        self.size, self.keys, self.product = size, keys_[at], product_[at]
+        self.size = size
+        self._index(keys_[at], product_[at])
         self.ids = np.zeros(size, dtype=np.uint32)
         for t, i in order.items():
             self.ids[i] = vocab[t]
@@ -82,6 +84,10 @@ class Bpe:
         self.own = own
 
         chars = _bytes_of_chars()
+        self.symbols, self.last_symbols = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+        for c, byte in chars.items():
+            self.symbols[ord(byte)] = order[c]
+            self.last_symbols[ord(byte)] = order[c + self.end]
         self.stop, self.border = "Ā", "ā"
         self.auto = ahocorasick.Automaton()
         for t, i in order.items():
@@ -101,22 +107,87 @@ class Bpe:
         self.flat = np.frombuffer(b"".join(texts.get(i, b"") for i in range(n)), dtype=np.uint8)
         # fixed values: the two files' word patterns
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.end else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.runs = re.compile(r"\s\s|[\ud800-\udfff]")
-        self.unusual = re.compile("[^\x00-ɏ‐-‧]")
+        # white space of other kinds: its chunks, and texts that hold them, are left to the library
+        self.space = re.compile(r"[^\S \n]|\S\n")
+        self.spaced: set[str] = set()
+        self.unusual = re.compile("[^\n !-~\xa1-\u024f\u2010-\u2027]|.\n")
         self.cache: dict[str, bytes] = {}
+        self.seen = np.zeros(1 << 23, dtype=bool)  # hashes of chunks met so far
         self.newline = b"" if self.end else self._library(["\n"])[0]
         self.stats = {"words": 0, "merged": 0}
 
+    def _index(self, keys: np.ndarray, product: np.ndarray) -> None:
+        """A hash table of the merges: pair to product, with linear probing."""
+        self.slots, self.held = np.full(1 << 18, -1, dtype=np.int64), np.full(1 << 18, self.NONE)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while todo.size:
+            free = self.slots[at[todo]] == -1
+            _, first = np.unique(at[todo[free]], return_index=True)
+            put = todo[free][first]
+            self.slots[at[put]], self.held[at[put]] = keys[put], product[put]
+            todo = np.setdiff1d(todo, put)
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+
+    def joined(self, keys: np.ndarray) -> np.ndarray:
+        """What each pair of tokens merges into, or NONE."""
+        at = self._slot(keys)
+        got = self.slots[at]
+        out = np.where(got == keys, self.held[at], self.NONE)
+        todo = np.flatnonzero((got != keys) & (got != -1))
+        while todo.size:
+            at = (at if len(at) == len(todo) else at[todo]) + 1 & len(self.slots) - 1
+            key = keys[todo]
+            got = self.slots[at]
+            hit = got == key
+            out[todo[hit]] = self.held[at[hit]]
+            go = ~hit & (got != -1)
+            todo, at = todo[go], at[go]
+        return out
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of words by exact merging: in each the pair of least rank, again and again, for all words at once."""
+        raw = [w.encode() for w in words]
+        n = np.array([len(r) for r in raw], dtype=np.int64)
+        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        s = self.symbols[flat]
+        if self.end:
+            s[np.cumsum(n) - 1] = self.last_symbols[flat[np.cumsum(n) - 1]]
+        word = np.repeat(np.arange(len(raw)), n)
+        done_s, done_w = [], []
+        while s.size:
+            rank = np.full(len(s), self.NONE)
+            inner = np.flatnonzero(word[:-1] == word[1:])
+            rank[inner] = self.joined(s[inner] * self.size + s[inner + 1])
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank, start)
+            each = np.diff(start, append=len(s))
+            over = np.repeat(least == self.NONE, each)
+            hit = np.flatnonzero((rank == np.repeat(least, each)) & ~over)
+            first = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])] if hit.size else hit
+            s[first] = rank[first]
+            keep = ~over
+            keep[first + 1] = False
+            done_s.append(s[over])
+            done_w.append(word[over])
+            s, word = s[keep], word[keep]
+        if not done_s:
+            return []
+        s, word = np.concatenate(done_s), np.concatenate(done_w)
+        at = np.argsort(word, kind="stable")
+        ids = self.ids[s[at]].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(word, minlength=len(raw))).tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def stable(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For pairs of token orders: would BPE leave the border between them alone?"""
         ok = np.ones(len(a), dtype=bool)
         a, b, live = a.copy(), b.copy(), np.arange(len(a))
         limit = np.full(len(a), self.NONE) if limit is None else limit.copy()
         while live.size:
-            key = a * self.size + b
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            joined = np.where(self.keys[at] == key, self.product[at], self.NONE)
-            bad = joined < limit
+            bad = self.joined(a * self.size + b) < limit
             ok[live[bad]] = False
             go = ~bad & ~((a < self.n_base) & (b < self.n_base))
             a, b, live = a[go], b[go], live[go]
@@ -152,49 +223,54 @@ class Bpe:
         # a border symbol of its own occurs in words that fail only
         out = [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
         failed = np.flatnonzero(bad).tolist()
-        for i, ids in zip(failed, self._library([words[i] for i in failed]), strict=True):
+        for i, ids in zip(failed, self.merge([words[i] for i in failed]), strict=True):
             out[i] = ids
         self.stats["words"] += len(words)
         self.stats["merged"] += len(failed)
         return out
 
-    def _pieces(self, chunk: str, usual: bool) -> list[str] | None:
-        """The words of a chunk without inner white space; None: leave it to the library."""
-        if not usual and self.unusual.search(chunk):
-            return None
-        if self.lower:
-            if not chunk.isascii():
-                chunk = unicodedata.normalize("NFC", chunk)
-            chunk = chunk.lower()
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isalpha():
-            return [chunk]
-        if body[:-1].isalpha() and body[-1] in ".,":
-            return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
         """Encodings of chunks that are new."""
-        usual = not self.unusual.search("".join(parts))
-        cache, newline = self.cache, self.newline
-        split: list[tuple[str, list[str]]] = []
-        left: list[str] = []
+        cache, get, newline = self.cache, self.cache.get, self.newline
+        new: dict[str, bytes] = {}
+        odd = [p for p in parts if self.unusual.search(p)] if self.unusual.search("".join(parts)) else []
+        self.spaced.update(p for p in odd if self.space.search(p))
+        if odd:
+            new.update(zip(odd, self._library([p if self.end else p[1:] if p[:1] == "\n" else " " + p for p in odd]), strict=True))
+            parts = [p for p in parts if p not in new]
+        if self.end:
+            plain = unicodedata.normalize("NFC", "\n".join(parts)).lower().split("\n")
+            words = bodies = plain
+        else:
+            words = [p[1:] if p[:1] == "\n" else " " + p for p in parts]
+            bodies = [p[1:] if p[:1] == "\n" else p for p in parts]
         found: dict[str, bytes | None] = {}
-        for p in parts:
-            pieces = self._pieces(p if self.end else p[1:] if p[:1] == "\n" else " " + p, usual)
-            if pieces is None:
-                left.append(p)
+        split: list[tuple[str, list[str]]] = []
+        whole: list[tuple[str, str]] = []
+        findall, end = self.pattern.findall, self.end
+        for p, w, body in zip(parts, words, bodies, strict=True):
+            if body.isalpha():
+                whole.append((p, w))
+                found[w] = None
                 continue
+            pieces = [w[:-1], w[-1]] if body[-1:] in (".", ",") and body[:-1].isalpha() else findall(w)
             split.append((p, pieces))
-            for w in pieces:
-                if w not in found:
-                    found[w] = cache.get(w if self.end else w[1:] if w[0] == " " else None)
+            for x in pieces:
+                if x not in found:
+                    found[x] = get(x if end else x[1:] if x[0] == " " else None)
         distinct = [w for w, ids in found.items() if ids is None]
         found.update(zip(distinct, self.words(distinct), strict=True))
-        new = {p: found[pieces[0]] if len(pieces) == 1 else b"".join([found[w] for w in pieces]) for p, pieces in split}
-        new.update(zip(left, self._library([p if self.end else p[1:] if p[:1] == "\n" else " " + p for p in left]), strict=True))
+        for p, w in whole:
+            new[p] = found[w]
+        for p, pieces in split:
+            new[p] = b"".join([found[w] for w in pieces])
         if newline:
             new.update((p, newline + ids) for p, ids in new.items() if p[:1] == "\n")
+        if len(cache) < CACHE:  # chunks that have come before, in another batch
+            at = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) & (len(self.seen) - 1)
+            again = self.seen[at]
+            self.seen[at] = True
+            cache.update([x for x, known in zip(new.items(), again.tolist(), strict=True) if known])
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -212,7 +288,7 @@ class Bpe:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "<|" in text or self.runs.search(text):
+            if "<|" in text or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
                 odd.append(i)
                 continue
             plain.append(i)
@@ -221,16 +297,22 @@ class Bpe:
             else:
                 flat += ("\n" + text.replace("\n", " \n")).split(" ")
             ends.append(len(flat))
-        cache = self.cache
-        ids = list(map(cache.get, flat))
-        wanted = {p for p, x in zip(flat, ids, strict=True) if x is None}
-        if wanted:
-            new = self._learn(wanted)
-            ids = [new[p] if x is None else x for p, x in zip(flat, ids, strict=True)]
-            if len(cache) < CACHE:
-                cache.update(new)
+        ids = list(map(self.cache.get, flat))
+        missed, at = [], -1
+        while True:
+            try:
+                at = ids.index(None, at + 1)
+            except ValueError:
+                break
+            missed.append(at)
+        if missed:
+            new = self._learn(list({flat[i] for i in missed}))
+            for i in missed:
+                ids[i] = new[flat[i]]
         start, cut = 0, len(self.newline)
         for i, end in zip(plain, ends, strict=True):
+            if self.spaced and not self.spaced.isdisjoint(flat[start:end]):
+                odd.append(i)
             out[i] = b"".join(ids[start:end])[cut:]
             start = end
         if odd:
