@@ -112,15 +112,19 @@ _ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the least node reachable.
 
-    Each round maps a node to the least of itself and its neighbours and contracts the
-    edges along that map, so paths shrink to a third or less; the maps compose backwards.
-    Nothing is collected: a round ends with a count of the edges left.
+    Each round maps a node to that of itself and its neighbours whose hash of the round is least,
+    and contracts the edges along that map; as the order is random, paths and trees of any numbering
+    shrink by a constant share. The maps compose backwards to one root for each component, whose
+    least member is then named. Nothing is collected: a round ends when no edge is left.
     """
     e = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
+        turn = F.lit(len(maps))
         both = e.union(e.select("b", "a"))
-        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn), "b")).alias("m"))
+        own = F.struct(F.xxhash64("a", turn), F.col("a").alias("b"))
+        least = checkpointed(least.select(F.col("a").alias("node"), F.least(own, "m")["b"].alias("to")))
         maps.append(least)
         e = checkpointed(
             e.join(least.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
@@ -137,4 +141,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         found = checkpointed(
             up.join(found.select(F.col("node").alias("to"), F.col("to").alias("root")), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
         )
-    return found.select("node", F.col("to").alias("component"))
+    named = checkpointed(found.groupBy("to").agg(F.min("node").alias("component")))
+    return found.join(named, "to").select("node", "component")

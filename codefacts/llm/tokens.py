@@ -88,12 +88,14 @@ class Bpe:
         for c, byte in chars.items():
             self.symbols[ord(byte)] = order[c]
             self.last_symbols[ord(byte)] = order[c + self.end]
-        self.stop, self.border = "Ā", "ā"
+        # words hold neither newlines nor zero bytes, so tokens with one can be left out
+        self.stop, self.border = "\n", "\0"
         self.auto = ahocorasick.Automaton()
         for t, i in order.items():
             ends = self.end and t.endswith(self.end)
             plain = "".join(chars[c] for c in (t[: -len(self.end)] if ends else t))
-            self.auto.add_word(plain + self.border * bool(ends), i)
+            if "\n" not in plain and "\0" not in plain:
+                self.auto.add_word(plain + self.border * bool(ends), i)
         self.auto.add_word(self.stop, -1)
         if self.end:
             self.auto.add_word(self.border, -2)
@@ -110,7 +112,7 @@ class Bpe:
         # white space of other kinds: its chunks, and texts that hold them, are left to the library
         self.space = re.compile(r"[^\S \n]|\S\n")
         self.spaced: set[str] = set()
-        self.unusual = re.compile("[^\n !-~\xa1-\u024f\u2010-\u2027]|.\n")
+        self.unusual = re.compile("[^\n !-~\xa1-\u024f\u2010-\u2027]")
         self.cache: dict[str, bytes] = {}
         self.seen = np.zeros(1 << 23, dtype=bool)  # hashes of chunks met so far
         self.newline = b"" if self.end else self._library(["\n"])[0]
@@ -149,13 +151,16 @@ class Bpe:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of words by exact merging: in each the pair of least rank, again and again, for all words at once."""
-        raw = [w.encode() for w in words]
-        n = np.array([len(r) for r in raw], dtype=np.int64)
-        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        if not words:
+            return []
+        flat = np.frombuffer(("\n".join(words) + "\n").encode(), dtype=np.uint8)
+        stops = np.flatnonzero(flat == 10)
+        n = np.diff(stops, prepend=-1) - 1
+        flat = flat[flat != 10]
         s = self.symbols[flat]
         if self.end:
             s[np.cumsum(n) - 1] = self.last_symbols[flat[np.cumsum(n) - 1]]
-        word = np.repeat(np.arange(len(raw)), n)
+        word = np.repeat(np.arange(len(words)), n)
         done_s, done_w = [], []
         while s.size:
             rank = np.full(len(s), self.NONE)
@@ -178,7 +183,7 @@ class Bpe:
         s, word = np.concatenate(done_s), np.concatenate(done_w)
         at = np.argsort(word, kind="stable")
         ids = self.ids[s[at]].astype("<u4").tobytes()
-        ends = np.cumsum(np.bincount(word, minlength=len(raw))).tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
         return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def stable(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
@@ -207,7 +212,7 @@ class Bpe:
         if not words:
             return []
         mark = self.border * bool(self.end) + self.stop
-        big = mark.join(w.encode().decode("latin-1") for w in words) + mark
+        big = (mark.join(words) + mark).encode().decode("latin-1")
         got = np.fromiter((x for _, x in self.auto.iter_long(big)), dtype=np.int64)
         stops = np.flatnonzero(got == -1)
         word = np.repeat(np.arange(len(words)), np.diff(stops, prepend=-1))
@@ -239,7 +244,7 @@ class Bpe:
             new.update(zip(odd, self._library([p if self.end else p[1:] if p[:1] == "\n" else " " + p for p in odd]), strict=True))
             parts = [p for p in parts if p not in new]
         if self.end:
-            plain = unicodedata.normalize("NFC", "\n".join(parts)).lower().split("\n")
+            plain = unicodedata.normalize("NFC", "\n".join(parts)).lower().split("\n") if parts else []
             words = bodies = plain
         else:
             words = [p[1:] if p[:1] == "\n" else " " + p for p in parts]
