@@ -37,7 +37,7 @@ def a(name: str) -> Column:
 
 def c(name: str) -> Column:
     """Something about the first child of a role, such as ``left.hash``."""
-    return F.col("child")[name]
+    return F.col("kids")[name]
 
 
 def has(name: str) -> Column:

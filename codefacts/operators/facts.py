@@ -16,11 +16,11 @@ from codefacts.sources.php import Node, ParseError, parse
 
 NODES = (
     "path string, node_id int, parent_id int, last_id int, ord int, role string, kind string, parent_kind string, parent_bare string, ns string, cls string, fn string, "
-    "attrs map<string,string>, child map<string,string>, hash string, pure boolean, text string, doc string, start_line int, end_line int, "
+    "attrs map<string,string>, kids map<string,string>, hash string, pure boolean, text string, doc string, start_line int, end_line int, "
     "start_char int, end_char int, start_pos int, end_pos int, context string"
 )
 _MAP = pa.map_(pa.string(), pa.string())
-_TYPES = [("path", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_id", pa.int32()), ("ord", pa.int32()), ("role", pa.string()), ("kind", pa.string()), ("parent_kind", pa.string()), ("parent_bare", pa.string()), ("ns", pa.string()), ("cls", pa.string()), ("fn", pa.string()), ("attrs", _MAP), ("child", _MAP), ("hash", pa.string()), ("pure", pa.bool_()), ("text", pa.string()), ("doc", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("context", pa.string())]
+_TYPES = [("path", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_id", pa.int32()), ("ord", pa.int32()), ("role", pa.string()), ("kind", pa.string()), ("parent_kind", pa.string()), ("parent_bare", pa.string()), ("ns", pa.string()), ("cls", pa.string()), ("fn", pa.string()), ("attrs", _MAP), ("kids", _MAP), ("hash", pa.string()), ("pure", pa.bool_()), ("text", pa.string()), ("doc", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("context", pa.string())]
 
 #: Kinds with effects of their own.
 EFFECTS = {"MethodCall", "StaticCall", "New", "Assign", "IncDec", "Include", "Exit", "Eval", "Yield", "Print", "Throw", "Clone"}
@@ -64,6 +64,8 @@ def rows(path: str, content: str) -> Iterator[dict]:
         below = []
         for k, (r, x) in enumerate(n.parts):
             h, p = visit(x, me, n, r, k, ns, cls, fn)
+            if x.kind == "Namespace" and not x.parts:
+                ns = x.attrs.get("name", "")  # of all that follows
             if r == "comment":
                 continue
             below.append(f"{r}:{h}")
@@ -85,7 +87,7 @@ def rows(path: str, content: str) -> Iterator[dict]:
         digest = md5(f"{n.kind}({fixed})[{'|'.join(below)}]".encode()).hexdigest()
         line, char = place(n.start)
         last = place(max(n.end - 1, n.start))
-        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "child": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : min(n.end, n.start + TEXT)], "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1][:500]}
+        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "kids": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : min(n.end, n.start + TEXT)], "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1][:500]}
         return digest, pure
 
     visit(tree, -1, None, "", 0, "", "", "")

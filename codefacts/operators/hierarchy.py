@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codefacts.session import cut
+
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", limit: int = 64) -> DataFrame:
     """(child, ancestor, depth): semi-naive, one join of the newest pairs in each round.
 
-    A pair keeps its least depth, so cycles end; depth is at most ``limit``. The hierarchy is written
-    to the checkpoint folder between rounds where one is set.
+    A pair keeps its least depth, so cycles end; depth is at most ``limit``. Rounds are cut by checkpoints.
     """
     base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct().withColumn("depth", F.lit(1).cast("long"))
     step = base.select(F.col("child").alias("via"), F.col("ancestor").alias("up"))
-    cut = _cut(edges)
     all_, new = cut(base), base
     for depth in range(2, limit + 1):
         new = cut(
@@ -27,13 +27,6 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", limi
     return all_
 
 
-def _cut(df: DataFrame):
-    """checkpoint() where the session has a folder for it, else the plan as it is."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        return lambda d: d
-    return lambda d: d.checkpoint(eager=True)
-
-
 def resolve(wanted: DataFrame, members: DataFrame, ancestors: DataFrame, ranks: list[str]) -> DataFrame:
     """For each (cls, name) the member found first.
 

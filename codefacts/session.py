@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings; partition numbers and memory are the deployment's.
 SETTINGS = {
@@ -18,3 +22,24 @@ def session(app: str = "codefacts", **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_OWN: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its plan, in the checkpoint folder that the session names.
+
+    Where none is named (single machines, tests) a folder of our own is used until the process ends.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            app = spark.sparkContext.applicationId
+            if app not in _OWN:
+                _OWN[app] = tempfile.mkdtemp(prefix="codefacts-")
+                atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+            at = _OWN[app]
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint(eager=True)

@@ -919,15 +919,16 @@ class Parser:
         body = t.text[1:-1] if t.text[0] in "\"`" else t.text
         parts: list[tuple[str, Node]] = []
         at = t.start + (1 if t.text[0] in "\"`" else 0)
+        inside = 0  # where the last braced part ends
         for m in re.finditer(r"\\.|\{(?=\$)|\$\{|\$([A-Za-z_]\w*)(?:->([A-Za-z_]\w*)|\[([^\]]*)\])?", body, re.S):
-            if m.group().startswith("\\"):
+            if m.group().startswith("\\") or m.start() < inside:
                 continue
             if m.group() in ("{", "${"):
                 depth, j = 1, m.end()
                 while j < len(body) and depth:
                     depth += {"{": 1, "}": -1}.get(body[j], 0)
                     j += 1
-                inner = body[m.end() : j - 1]
+                inner, inside = body[m.end() : j - 1], j
                 if m.group() == "${":
                     parts.append(("part", Node("DeprecatedPart", at + m.start(), at + j, attrs={"text": inner})))
                     name = re.match(r"\w+", inner)
