@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import chunks, spread
+from codefacts.llm.common import chunks, sliced, spread
 from codefacts.llm.tokens import bpe
 
 
@@ -26,9 +26,9 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 4_000_000):
                 ids = model.encode(texts[a:b])
                 back = [model.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
                 one: list = ids

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -69,6 +71,15 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that only some rows are Python objects at a time; at the end freed memory is given back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` characters each, one text at least."""
     at = size = 0
@@ -96,7 +107,7 @@ def annotated(docs: DataFrame, of: Callable[[], Callable[[list[str]], dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = of()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(at if at >= 0 else batch.num_columns - 1).to_pylist()]
             for a, b in chunks(texts, size):
                 got = work(texts[a:b])

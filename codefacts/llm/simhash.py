@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import checkpointed, components, spread
+from codefacts.llm.common import checkpointed, components, sliced, spread
 
 SHARD = 2048
 STEP = 1 << 16  # shingles summed at once, so that a very long text needs bounded memory
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     """(doc_id, fp): the fingerprint of every row as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
