@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import chunks, shared_path, staged
+from codefacts.llm.common import chunks, shared_path, sliced, staged
 from codefacts.llm.storage import open_read, open_write
 from codefacts.llm.tokens import bpe
 
@@ -57,7 +57,8 @@ def _tables() -> dict[str, np.ndarray]:
 
 
 def _shift(crc: np.ndarray, tab: np.ndarray) -> np.ndarray:
-    return tab[0][crc & 0xFF] ^ tab[1][crc >> 8 & 0xFF] ^ tab[2][crc >> 16 & 0xFF] ^ tab[3][crc >> 24]
+    parts = crc.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return tab[0].take(parts[:, 0], mode="wrap") ^ tab[1].take(parts[:, 1], mode="wrap") ^ tab[2].take(parts[:, 2], mode="wrap") ^ tab[3].take(parts[:, 3], mode="wrap")
 
 
 def crc32c(items: list[bytes]) -> np.ndarray:
@@ -73,7 +74,7 @@ def crc32c(items: list[bytes]) -> np.ndarray:
     grid = np.frombuffer(b"".join([y for x in zip(pads, items, strict=True) for y in x]), dtype=np.uint8).reshape(-1, BLOCK).T.copy()
     own = np.zeros(grid.shape[1], dtype=np.uint32)
     for i in range(BLOCK):
-        own ^= t["place"][i][grid[i]]
+        own ^= t["place"][i].take(grid[i], mode="wrap")
     ends = np.cumsum(blocks)
     own = _shifted(own, np.repeat(ends, blocks) - np.arange(len(own)) - 1)
     start = _shifted(t["init"][n % BLOCK], n // BLOCK)
@@ -127,10 +128,10 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         records = tokens = at = 0
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
         data = index = None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 4_000_000):
                 if data is None:
                     data, index = open_write(f"{name}.rec"), open_write(f"{name}.idx")
                 payloads, places = [], []

@@ -10,6 +10,7 @@ Texts with unusual white space or characters go to the tokenizers library.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -18,7 +19,7 @@ from array import array
 
 import numpy as np
 
-CACHE = 280_000  # chunks that a worker remembers; beyond it, chunks are encoded again
+CACHE = 350_000  # chunks that a worker remembers; beyond it, chunks are encoded again
 _LOADED: dict[str, Bpe] = {}
 
 
@@ -213,7 +214,7 @@ class Bpe:
             return []
         mark = self.border * bool(self.end) + self.stop
         big = (mark.join(words) + mark).encode().decode("latin-1")
-        got = np.fromiter((x for _, x in self.auto.iter_long(big)), dtype=np.int64)
+        got = np.fromiter(self.auto.iter_long(big), dtype=[("end", np.int64), ("token", np.int64)])["token"]
         stops = np.flatnonzero(got == -1)
         word = np.repeat(np.arange(len(words)), np.diff(stops, prepend=-1))
         real = got >= 0
@@ -249,14 +250,13 @@ class Bpe:
         else:
             words = [p[1:] if p[:1] == "\n" else " " + p for p in parts]
             bodies = [p[1:] if p[:1] == "\n" else p for p in parts]
-        found: dict[str, bytes | None] = {}
+        whole = [(p, w) for p, w, body in zip(parts, words, bodies, strict=True) if body.isalpha()]
+        # a chunk that is one word has just been missed under that word's key, unless it was changed
+        found: dict[str, bytes | None] = {w: get(w) for _, w in whole} if self.end else dict.fromkeys([w for _, w in whole])
         split: list[tuple[str, list[str]]] = []
-        whole: list[tuple[str, str]] = []
         findall, end = self.pattern.findall, self.end
         for p, w, body in zip(parts, words, bodies, strict=True):
             if body.isalpha():
-                whole.append((p, w))
-                found[w] = None
                 continue
             pieces = [w[:-1], w[-1]] if body[-1:] in (".", ",") and body[:-1].isalpha() else findall(w)
             split.append((p, pieces))
@@ -279,7 +279,18 @@ class Bpe:
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: none) as little-endian 32-bit bytes.
+        """Ids of each text (null: none) as little-endian 32-bit bytes."""
+        # millions of short-lived lists and no cycles: the cycle collector would only look at them again and again
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        """See encode().
 
         Texts are cut before each single space or newline, where every word ends anyway;
         the chunks, nearly all met before, are looked up. A chunk that begins a line keeps
