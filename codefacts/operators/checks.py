@@ -188,8 +188,14 @@ def located(df: DataFrame) -> DataFrame:
     return df.select("check_name", "level", "context", "message", F.col("path").alias("filename"), F.col("start_line").alias("line"), "start_char", "end_char")
 
 
+#: Kinds that no check of ``structural`` is about, but for comments, keywords and modifiers that any node can have.
+QUIET = ["Name", "Arg", "Block", "Item", "Use", "UseItem", "Type", "Comment", "File", "Prop", "ConstItem", "PropertyItem", "Var", "String", "Int", "MethodCall", "StaticCall", "Paren", "Template"]
+
+
 def run(nodes: DataFrame, checks: list[Check] | None = None) -> DataFrame:
     """All findings of checks on single nodes."""
+    if checks is None:  # most nodes are of kinds that have nothing to say: they go before the predicates are evaluated
+        nodes = nodes.where(~F.col("kind").isin(QUIET) | (F.col("doc") != "") | (F.col("parent_kind") == "Global") | a("keyword").isNotNull() | a("raw_modifiers").isNotNull())
     found = [F.when(x.when, F.struct(F.lit(x.name).alias("check_name"), F.lit(x.level).alias("level"), (F.lit(x.message) if isinstance(x.message, str) else x.message).alias("message"), (F.lit(None).cast("string") if x.fix is None else x.fix).alias("fix"))) for x in (structural() if checks is None else checks)]
     hit = nodes.withColumn("_f", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())))
     return located(hit.select("*", "_f.check_name", "_f.level", "_f.message"))
