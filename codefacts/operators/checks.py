@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codefacts.functions import text
+
 ERROR, WARNING, NOTICE = 1, 2, 3
 FINDINGS = ["check_name", "level", "context", "message", "filename", "line", "start_char", "end_char"]
 
@@ -86,6 +88,8 @@ def structural() -> list[Check]:
     binary_in = lambda role, ops: (c(f"{role}.kind") == "Binary") & c(f"{role}.op").isin(ops)
     lit = F.lit
     tests = _map(TYPE_TESTS)
+    wanted = F.size(F.filter(text.directives(c("arg.value")), lambda d: d != "%%"))
+    formats = call("sprintf", "printf") & (c("arg.inner") == "String") & ~F.col("text").contains("...") & ~c("arg.value").rlike(r"%\d+\$")
     out = [
         Check("syntax", ERROR, kind("SyntaxError"), a("message"), comment="Report syntax errors."),
         Check("emptyStmt", WARNING, kind("Nop") & F.col("parent_kind").isin("Block", "Case", "File", "Namespace") & ~(F.col("text") == "?>") & (F.col("role") == "stmt") & (F.col("parent_bare") == ""), "Semicolon (;) is not needed here, it can be safely removed"),
@@ -158,12 +162,28 @@ def structural() -> list[Check]:
         Check("stripTags", ERROR, call("strip_tags") & (args >= 2) & (c("arg1.inner") == "String") & c("arg1.value").rlike(r"/>"), "$allowed_tags argument: '/>' is not allowed, use '<tag>'"),
         Check("invalidDocblock", WARNING, (F.col("doc") != "") & F.col("doc").rlike(r"@param\s+\$\w+\s+[A-Za-z\\|]+\s*(\n|\*)"), "Malformed @param tag: the type comes before the variable"),
         Check("invalidDocblockType", NOTICE, (F.col("doc") != "") & F.col("doc").rlike(r"(?i)@(param|return|var)\s+(boolean|integer|real|double)\b"), "Use the short name of the type in the comment"),
+        Check("printf", ERROR, formats & (args - 1 < wanted), text_of("Format string has %d directives, but %d arguments are given", wanted, args - 1)),
+        Check("printf", WARNING, formats & (args - 1 > wanted), text_of("Format string has %d directives, %d arguments aren't used", wanted, args - 1 - wanted)),
+        Check("regexpVet", WARNING, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & c("arg.value").rlike(r"\[[^\]]*([a-zA-Z0-9_])[^\]\-]*\1[^\]]*\]"), "A character occurs twice in a class of the regular expression"),
+        Check("regexpVet", WARNING, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & c("arg.value").rlike(r"[+*][+*]|\((?:[^()\\]|\\.)*[+*]\)[+*]"), "A quantifier inside a repeated group of the regular expression"),
+        Check("regexpSimplify", NOTICE, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & c("arg.value").rlike(r"\[0-9\]|\[a-zA-Z0-9_\]|\[A-Za-z0-9_\]|\{1\}|\{0,1\}|\{1,\}|\{0,\}"), text_of("May re-write %s with shorter classes and quantifiers", c("arg.text"))),
         Check("typeHint", NOTICE, kind("Param") & (F.lower(c("type.text")) == "array"), text_of("Specify the type for the parameter $%s in PHPDoc, 'array' type hint too generic", a("name")), default=False),
         Check("trailingComma", NOTICE, kind("Array") & (F.col("start_line") < F.col("end_line")) & F.col("text").rlike(r"[^,\s]\s*\n\s*[\])]$"), "Last element in a multi-line array should have a trailing comma", default=False),
     ]
     return out
 
 
+def misspelt(nodes: DataFrame, typos: dict[str, str]) -> DataFrame:
+    """misspellName, misspellComment: words of declared names and of comments against a dictionary."""
+    named = nodes.where(kind("Function", "Method", "Class", "Interface", "Trait", "Param", "PropertyItem") & a("name").isNotNull())
+    parts = F.regexp_extract_all(a("name"), F.lit(r"[A-Z]?[a-z]+"), F.lit(0))
+    rows = named.select("*", F.explode(parts).alias("word"), F.lit("misspellName").alias("check_name"))
+    spoken = nodes.where(kind("Comment")).select("*", F.explode(F.regexp_extract_all("text", F.lit(r"\b[a-z]+\b"), F.lit(0))).alias("word"), F.lit("misspellComment").alias("check_name"))
+    fixed = _map({k.lower(): v for k, v in typos.items()})[F.lower("word")]
+    hit = rows.unionByName(spoken).where(fixed.isNotNull()).dropDuplicates(["path", "node_id", "check_name", "word"])
+    return located(hit.withColumns({"level": F.lit(NOTICE), "message": text_of('"%s" is a misspelling of "%s"', F.col("word"), fixed)}))
+
+
 def pure_sides() -> Column:
     return ~F.col("text").rlike(r"\(|\+\+|--")
 

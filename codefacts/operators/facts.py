@@ -113,3 +113,26 @@ def nodes(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, NODES)
+
+
+def cached(files: DataFrame, at: str) -> DataFrame:
+    """nodes() of files, with those parsed before read from the table at ``at``.
+
+    The key is path and md5 of the content, so a changed file is parsed again. New rows are appended
+    as a batch of their own; a run that fails leaves the table as it was.
+    """
+    from pyspark.sql import functions as F
+
+    spark = files.sparkSession
+    keyed = files.withColumn("content_md5", F.md5(F.coalesce("content", F.lit(""))))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    missing = keyed
+    if there:
+        known = spark.read.parquet(at).select("path", "content_md5").distinct()
+        missing = keyed.join(known, ["path", "content_md5"], "left_anti")
+    digests = missing.select(F.col("path").alias("_path"), "content_md5")
+    fresh = nodes(missing).join(digests, F.col("path") == F.col("_path")).drop("_path")
+    fresh.write.mode("append").parquet(at)
+    wanted = keyed.select(F.col("path").alias("_path"), F.col("content_md5").alias("_md5"))
+    return spark.read.parquet(at).join(wanted, (F.col("path") == F.col("_path")) & (F.col("content_md5") == F.col("_md5")), "left_semi").drop("content_md5")

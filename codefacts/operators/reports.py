@@ -77,3 +77,39 @@ def path_rules(rows: DataFrame, path: str, rules: list[tuple[str, bool]], defaul
                     hit = hit | F.col(path).rlike(rf"^(?:{pattern})(/|$)")
             out = F.when(hit, F.lit(on)).otherwise(out)
     return out
+
+
+def aligned(findings: DataFrame, hunks: DataFrame, file: str = "filename", line: str = "line") -> DataFrame:
+    """findings with ``old_line``: where their line stood before the hunks of the file; null inside a changed range.
+
+    hunks: (new_name, old_from, old_to, new_from, new_to); a range that ends before it begins is empty.
+    """
+    h = hunks.select("new_name", F.col("new_from").alias("_from"), F.col("new_to").alias("_to"), ((F.col("old_to") - F.col("old_from")) - (F.col("new_to") - F.col("new_from"))).alias("_shift"))
+    per = h.groupBy(F.col("new_name").alias("_file")).agg(F.collect_list(F.struct("_from", "_to", "_shift")).alias("_h"))
+    j = findings.join(per, F.col(file) == F.col("_file"), "left")
+    inside = F.exists("_h", lambda x: F.col(line).between(x["_from"], x["_to"]))
+    # an empty new range stands after its line
+    before = F.filter("_h", lambda x: F.when(x["_to"] < x["_from"], x["_from"] < F.col(line)).otherwise(x["_to"] < F.col(line)))
+    shift = F.aggregate(before, F.lit(0), lambda s, x: s + x["_shift"].cast("int"))
+    return j.withColumn("old_line", F.when(F.col("_h").isNull(), F.col(line)).when(~inside, F.col(line) + shift)).drop("_file", "_h")
+
+
+def new_by_line(findings: DataFrame, old: DataFrame, hunks: DataFrame, by_check: bool = False) -> DataFrame:
+    """Findings whose line, brought back before the change, had no finding (with ``by_check``: none of the same check)."""
+    keys = ["filename", "line", *(["check_name"] if by_check else [])]
+    seen = old.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    at = aligned(findings, hunks)
+    on = (F.col("filename") == F.col("_filename")) & (F.col("old_line") == F.col("_line"))
+    if by_check:
+        on = on & (F.col("check_name") == F.col("_check_name"))
+    return at.join(seen, on, "left_anti").drop("old_line")
+
+
+def in_changed_lines(findings: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Findings on lines that a hunk touches."""
+    return findings.join(hunks, (F.col("filename") == F.col("new_name")) & F.col("line").between(F.col("new_from"), F.col("new_to")), "left_semi")
+
+
+def by_allowed_authors(commits: DataFrame, allowed: list[str]) -> bool:
+    """is every commit by one of the authors?"""
+    return commits.where(~F.col("author").isin(list(allowed))).isEmpty()
