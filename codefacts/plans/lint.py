@@ -8,27 +8,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.functions import text
-from codefacts.operators import checks, facts, flow, relational, reports
+from codefacts.operators import checks, facts, flow, relational, reports, rules, types
 
 
 def default_off() -> list[str]:
     """Checks that run only if asked for."""
     on = {c.name for c in checks.structural() if c.default}
-    return sorted({c.name for c in checks.structural()} - on | {"classMembersOrder", "parentNotFound"})
+    return sorted({c.name for c in checks.structural()} - on | {"classMembersOrder", "parentNotFound", "redundantCast"})
 
 
-def all_findings(files: DataFrame, nodes: DataFrame | None = None, known_functions: list[str] = ()) -> DataFrame:
-    """Findings of every check. Pass stored ``nodes`` so that files are parsed once for all of them."""
+def all_findings(files: DataFrame, nodes: DataFrame | None = None, known_functions: list[str] = (), rules_: list[rules.Rule] = (), typos: dict[str, str] | None = None, typed: bool = False) -> DataFrame:
+    """Findings of every check, and of rules and a dictionary where given. Pass stored ``nodes`` so that files are parsed once for all of them."""
     n = facts.nodes(files) if nodes is None else nodes
     symbols = relational.Symbols(n)
     parts = [checks.run(n), relational.undefined(n, symbols, known_functions), relational.members(n, symbols), relational.siblings(n, symbols), flow.findings(files)]
+    if rules_:
+        parts.append(rules.apply(files, list(rules_)))
+    if typos:
+        parts.append(checks.misspelt(n, typos))
+    if typed:
+        parts.append(types.redundant_casts(n, types.expressions(files)))
     return reduce(DataFrame.unionByName, [p.select(checks.FINDINGS) for p in parts])
 
 
-def report(files: DataFrame, nodes: DataFrame | None = None, disabled: list[str] | None = None, exclude: str | None = None, known_functions: list[str] = (), generated: bool = False) -> DataFrame:
+def report(files: DataFrame, nodes: DataFrame | None = None, disabled: list[str] | None = None, exclude: str | None = None, known_functions: list[str] = (), generated: bool = False, **more: object) -> DataFrame:
     """Findings that pass the gate: enabled checks, no excluded, generated or self-disabled file, no suppressed node."""
     n = facts.nodes(files) if nodes is None else nodes
-    found = reports.gate(all_findings(files, n, known_functions), disabled=default_off() if disabled is None else disabled, exclude=exclude)
+    found = reports.gate(all_findings(files, n, known_functions, **more), disabled=default_off() if disabled is None else disabled, exclude=exclude)
     if not generated:
         machine = files.where(text.auto_generated(F.col("content"))).select(F.col("path").alias("filename"))
         found = found.join(machine, "filename", "left_anti")

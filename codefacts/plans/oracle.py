@@ -374,7 +374,7 @@ SELECT user_id, event_type, count(*) AS n, rank() OVER (PARTITION BY user_id ORD
 def checker_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks with ties broken, after the aggregation."""
     g = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return g.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")))
+    return g.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")).cast("long"))
 
 
 @query("""
