@@ -196,3 +196,58 @@ def siblings(nodes: DataFrame, symbols: Symbols) -> DataFrame:
     loops = nodes.where(kind("Var") & (F.col("parent_kind") == "Foreach") & F.col("role").isin("value", "key"))
     out.append(finding(loops.join(params, (F.col("path") == F.col("p_path")) & (F.col("fn") == F.col("p_fn")) & (a("name") == F.col("p_name")), "left_semi"), "varShadow", WARNING, text_of("Variable $%s shadow existing variable $%s from current function params", a("name"), a("name"))))
     return reduce(DataFrame.unionByName, out)
+
+
+# Scalar type names, with the long names that doc comments use
+SCALARS = {"int": "int", "integer": "int", "float": "float", "double": "float", "string": "string", "bool": "bool", "boolean": "bool"}
+
+
+def params(nodes: DataFrame) -> DataFrame:
+    """(callee, pos, p_name, p_type, p_default) of functions; positions count from 0."""
+    p = nodes.where(kind("Param") & (F.col("parent_kind") == "Function"))
+    w = Window.partitionBy("path", "parent_id").orderBy("ord")
+    p = p.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    own = F.lower(F.regexp_replace("fn", r"^\\", ""))
+    # of several functions of one name the first by path
+    best = F.min_by(F.struct(a("name").alias("p_name"), c("type.text").alias("p_type"), F.lower(c("default.text")).alias("p_default")), F.struct("path", "parent_id"))
+    return p.groupBy(own.alias("callee"), "pos").agg(best.alias("b")).select("callee", "pos", "b.*")
+
+
+def arguments(nodes: DataFrame) -> DataFrame:
+    """notNullSafetyFunctionArgumentConstFetch, argsReverse: arguments against the parameters at their places."""
+    calls = nodes.where(kind("Call") & (a("name") != "")).select("path", F.col("node_id").alias("parent_id"), F.lower(F.regexp_replace(a("name"), r"^\\", "")).alias("called"), c("arg.name").alias("first_arg"), c("arg1.name").alias("second_arg"), n("arg").alias("n_args"))
+    p = params(nodes)
+    nulls = nodes.where(kind("Arg") & (F.col("parent_kind") == "Call") & (c("expr.kind") == "Const") & (F.lower(c("expr.name")) == "null")).withColumn("at", F.col("ord") - 1)
+    j = nulls.join(calls, ["path", "parent_id"]).join(p, (F.col("called") == F.col("callee")) & (F.col("at") == F.col("pos")))
+    strict = F.col("p_type").isNotNull() & ~F.lower("p_type").rlike(r"^\?|\bnull\b|^mixed$") & ~F.coalesce(F.col("p_default") == "null", F.lit(False))
+    first = p.where("pos = 0").select(F.col("callee").alias("f0"), F.col("p_name").alias("n0"))
+    second = p.where("pos = 1").select(F.col("callee").alias("f1"), F.col("p_name").alias("n1"))
+    swapped = calls.where("n_args >= 2").join(first, F.col("called") == F.col("f0")).join(second, F.col("called") == F.col("f1")).where("first_arg = n1 AND second_arg = n0")
+    swapped = swapped.select("path", F.col("parent_id").alias("node_id"), "n0", "n1")
+    return finding(j.where(strict), "notNullSafetyFunctionArgumentConstFetch", WARNING, text_of("null passed to non-nullable parameter %s in function %s", F.col("p_name"), F.col("called"))).unionByName(
+        finding(nodes.join(swapped, ["path", "node_id"]), "argsReverse", WARNING, text_of("Perhaps the arguments are swapped: $%s is the second parameter", F.col("n1")))
+    )
+
+
+def docs(nodes: DataFrame, symbols: Symbols) -> DataFrame:
+    """funcParamTypeMissMatch, invalidDocblockRef, invalidDocblock: doc comments against what they describe."""
+    d = nodes.where(kind("Function", "Method") & (F.col("doc") != ""))
+    tags = d.select("*", F.explode(F.regexp_extract_all("doc", F.lit(r"@param\s+[^\s$*]+\s+\$\w+"), F.lit(0))).alias("tag")).withColumns({"d_type": F.regexp_extract("tag", r"@param\s+(\S+)", 1), "d_name": F.regexp_extract("tag", r"\$(\w+)", 1)})
+    p = nodes.where(kind("Param")).select(F.col("path").alias("q_path"), F.col("parent_id").alias("q_id"), a("name").alias("q_name"), c("type.text").alias("q_type"))
+    on = (F.col("path") == F.col("q_path")) & (F.col("node_id") == F.col("q_id"))
+    scalar = F.create_map(*[F.lit(x) for kv in SCALARS.items() for x in kv])
+    said, hinted = scalar[F.lower("d_type")], scalar[F.lower("q_type")]
+    wrong = tags.join(p, on & (F.col("d_name") == F.col("q_name"))).where(said.isNotNull() & hinted.isNotNull() & (said != hinted))
+    unknown = tags.join(p, on & (F.col("d_name") == F.col("q_name")), "left_anti")
+    refs = nodes.where(F.col("doc") != "").select("*", F.explode(F.regexp_extract_all("doc", F.lit(r"@see\s+\\?([A-Za-z_][\w\\]*)(?:::|\(|\s)"), F.lit(1))).alias("ref"))
+    names = symbols.classes.select("key").unionByName(symbols.functions.where("kind = 'Function'").select("key"))
+    names = names.select(F.substring_index("key", "\\", -1).alias("known")).distinct()
+    lost = refs.where(~F.col("ref").isin("http", "https")).join(names, F.lower(short(F.col("ref"))) == F.col("known"), "left_anti")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            finding(wrong, "funcParamTypeMissMatch", WARNING, text_of("Param $%s miss matched with phpdoc type <<%s>>", F.col("q_name"), F.col("d_type"))),
+            finding(unknown, "invalidDocblock", WARNING, text_of("@param for non-existing argument $%s", F.col("d_name"))),
+            finding(lost, "invalidDocblockRef", WARNING, text_of("@see tag refers to unknown symbol %s", F.col("ref"))),
+        ],
+    )

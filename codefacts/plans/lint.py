@@ -14,14 +14,14 @@ from codefacts.operators import checks, facts, flow, relational, reports, rules,
 def default_off() -> list[str]:
     """Checks that run only if asked for."""
     on = {c.name for c in checks.structural() if c.default}
-    return sorted({c.name for c in checks.structural()} - on | {"classMembersOrder", "parentNotFound", "redundantCast"})
+    return sorted({c.name for c in checks.structural()} - on | {"classMembersOrder", "parentNotFound", "redundantCast", "argsReverse"})
 
 
 def all_findings(files: DataFrame, nodes: DataFrame | None = None, known_functions: list[str] = (), rules_: list[rules.Rule] = (), typos: dict[str, str] | None = None, typed: bool = False) -> DataFrame:
     """Findings of every check, and of rules and a dictionary where given. Pass stored ``nodes`` so that files are parsed once for all of them."""
     n = facts.nodes(files) if nodes is None else nodes
     symbols = relational.Symbols(n)
-    parts = [checks.run(n), relational.undefined(n, symbols, known_functions), relational.members(n, symbols), relational.siblings(n, symbols), flow.findings(files)]
+    parts = [checks.run(n), relational.undefined(n, symbols, known_functions), relational.members(n, symbols), relational.siblings(n, symbols), relational.arguments(n), relational.docs(n, symbols), flow.findings(files)]
     if rules_:
         parts.append(rules.apply(files, list(rules_)))
     if typos:

@@ -135,3 +135,23 @@ def test_sources(spark, tmp_path):
     h = sources.hunks(sources.git_lines(spark, str(tmp_path), "diff", "-U0")).collect()
     assert [(r.old_name, r.new_name, r.new_from, r.new_to) for r in h] == [("a.php", "a.php", 1, 2)]
     assert sources.log(sources.git_lines(spark, str(tmp_path), "log", "--format=%h/%an/%s")).first().subject == "one/two"
+
+
+def test_arguments_and_docs(spark):
+    code = """<?php
+/**
+ * @param string $a
+ * @param int $gone
+ * @see nowhere()
+ * @see g()
+ */
+function f(int $a, ?int $b, $c = null, string $d = null) { return $a; }
+/** @see Other::x */
+function g($from, $to) { f(null, null, null, null); g($to, $from); g($from, $to); }
+"""
+    n = cut(facts.nodes(sources.buffers(spark, {"a.php": code})))
+    s = relational.Symbols(n)
+    got = sorted((r.line, r.check_name) for r in relational.arguments(n).collect())
+    assert got == [(10, "argsReverse"), (10, "notNullSafetyFunctionArgumentConstFetch")]
+    got = sorted((r.check_name, r.message.split()[-1]) for r in relational.docs(n, s).collect())
+    assert got == [("funcParamTypeMissMatch", "<<string>>"), ("invalidDocblock", "$gone"), ("invalidDocblockRef", "Other"), ("invalidDocblockRef", "nowhere")]
