@@ -60,7 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer partitions than the cluster has cores (small inputs only)."""
+    """Deal rows out when a scan has fewer partitions than the cluster has cores (small inputs only).
+
+    Plans with a shuffle are left alone: counting their partitions would run them.
+    """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

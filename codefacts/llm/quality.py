@@ -131,7 +131,7 @@ def marginals(node: np.ndarray, trans: np.ndarray, doc: np.ndarray) -> tuple[np.
     return good, both.sum(axis=0), float(np.log(scale).sum() + top.sum())
 
 
-def _blocks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[list[str], list[int]]]:
+def _blocks(texts: list[str], limit: int = 500_000) -> Iterator[tuple[list[str], list[int]]]:
     """(texts, their documents) of about ``limit`` characters each; long texts are cut between lines."""
     held: list[str] = []
     of: list[int] = []
@@ -247,4 +247,4 @@ def scored(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
     def of() -> Callable[[list[str]], dict[str, list]]:
         return lambda texts: {"score": np.full(len(texts), 0.5) if model is None else np.clip(model.scores(texts), 0.0, 1.0)}
 
-    return annotated(docs, of, "score double", text, 1_000_000)
+    return annotated(docs, of, "score double", text, 500_000)
