@@ -217,7 +217,8 @@ def run(nodes: DataFrame, checks: list[Check] | None = None) -> DataFrame:
     if checks is None:  # most nodes are of kinds that have nothing to say: they go before the predicates are evaluated
         nodes = nodes.where(~F.col("kind").isin(QUIET) | (F.col("doc") != "") | (F.col("parent_kind") == "Global") | a("keyword").isNotNull() | a("raw_modifiers").isNotNull())
     found = [F.when(x.when, F.struct(F.lit(x.name).alias("check_name"), F.lit(x.level).alias("level"), (F.lit(x.message) if isinstance(x.message, str) else x.message).alias("message"), (F.lit(None).cast("string") if x.fix is None else x.fix).alias("fix"))) for x in (structural() if checks is None else checks)]
-    hit = nodes.withColumn("_f", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())))
+    # (explode and filter, and no filter() inside the row: a higher-order function would evaluate every predicate uncompiled)
+    hit = nodes.select("path", "context", "start_line", "start_char", "end_char", F.explode(F.array(*found)).alias("_f")).where(F.col("_f").isNotNull())
     return located(hit.select("*", "_f.check_name", "_f.level", "_f.message"))
 
 
