@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.llm.common import checkpointed, held_out, staged, table
+from codefacts.llm.jaccard import near_copies
 from codefacts.llm.langid import identified, profiles
 from codefacts.llm.linededup import deduplicated
 from codefacts.llm.packing import packed
 from codefacts.llm.quality import fitted, scored
-from codefacts.llm.simhash import near_duplicates
 
 LANGUAGE_SCORE = 0.3  # below it a text resembles no language that was learned
 QUALITY_SCORE = 0.3
@@ -42,12 +42,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least doc_id stays, once; so do rows without doc_id that are like no other."""
-    found = checkpointed(near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").count())
-    once = docs.join(found.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    more = found.where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id"))
-    often = docs.join(more, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    often = often.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(often.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """Of each group of near copies (five-word Jaccard similarity of 0.8 or more, or at most 3 differing SimHash bits) one row stays: that of the least doc_id, then of the least MD5 of its text; rows without doc_id come last."""
+    found = near_copies(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
+    kept = found.groupBy("component").agg(first).select(F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
+    many = found.groupBy("doc_id", "text_hash").count().toDF("of", "of_hash", "copies")
+    kept = checkpointed(kept.join(many, F.col("id").eqNullSafe(F.col("of")) & F.col("hash").eqNullSafe(F.col("of_hash"))).select("id", "hash", "copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.md5("text").eqNullSafe(F.col("hash"))
+    once = docs.join(kept.where("copies = 1"), same, "left_semi")
+    often = docs.join(kept.where("copies > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(often).select(docs.columns)
 
 
