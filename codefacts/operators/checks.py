@@ -158,7 +158,7 @@ def structural() -> list[Check]:
         Check("forLoop", WARNING, kind("For") & (((c("cond.op").isin("<", "<=")) & (c("step.op") == "--")) | ((c("cond.op").isin(">", ">=")) & (c("step.op") == "++"))), "Potentially infinite 'for' loop, because the step moves away from the bound"),
         Check("discardExpr", WARNING, kind("Expr") & (c("expr.kind").isin("Array", "New") | pure & ~c("expr.kind").isin("Assign", "Include", "Exit", "Yield")), "Expression evaluated but not used"),
         Check("caseContinue", ERROR, kind("Continue") & (n("expr") == 0) & (F.col("parent_kind") == "Case"), "'continue' inside switch is 'break'"),
-        Check("mixedArrayKeys", WARNING, kind("Array") & (n("item") >= 2) & F.col("text").rlike(r"=>") & mixed_keys(), "Mixing implicit and explicit array keys"),
+        Check("mixedArrayKeys", WARNING, kind("Array") & mixed_keys(), "Mixing implicit and explicit array keys"),
         Check("stripTags", ERROR, call("strip_tags") & (args >= 2) & (c("arg1.inner") == "String") & c("arg1.value").rlike(r"/>"), "$allowed_tags argument: '/>' is not allowed, use '<tag>'"),
         Check("invalidDocblock", WARNING, (F.col("doc") != "") & F.col("doc").rlike(r"@param\s+\$\w+\s+[A-Za-z\\|]+\s*(\n|\*)"), "Malformed @param tag: the type comes before the variable"),
         Check("invalidDocblockType", NOTICE, (F.col("doc") != "") & F.col("doc").rlike(r"(?i)@(param|return|var)\s+(boolean|integer|real|double)\b"), "Use the short name of the type in the comment"),
@@ -198,9 +198,8 @@ def binary_in_bool() -> Column:
 
 
 def mixed_keys() -> Column:
-    """The first items tell: one with a key next to one without."""
-    keyed = [F.contains(c(f"item{i}.text"), F.lit("=>")) for i in ("", "1", "2")]
-    return F.coalesce(keyed[0] != keyed[1], F.lit(False)) | F.coalesce(keyed[1] != keyed[2], F.lit(False))
+    """Some item has a key and some item has none, of all items."""
+    return c("item.keyed").isNotNull() & c("item.unkeyed").isNotNull()
 
 
 def located(df: DataFrame) -> DataFrame:

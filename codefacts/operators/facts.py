@@ -83,6 +83,8 @@ def rows(path: str, content: str) -> Iterator[dict]:
                         child[f"{key}.{name}"] = inner.attrs[name]
         for r, k in counts.items():
             child[f"{r}.n"] = str(k)
+        if n.kind == "Array":
+            child |= {f"item.{'keyed' if any(s == 'key' for s, _ in x.parts) else 'unkeyed'}": "1" for r, x in n.parts if r == "item"}
         fixed = ",".join(f"{k}={v.lower() if n.kind in ('Name', 'Call', 'Const') else v}" for k, v in sorted(n.attrs.items()) if k not in ("long", "quote", "keyword", "raw", "raw_modifiers"))
         digest = md5(f"{n.kind}({fixed})[{'|'.join(below)}]".encode()).hexdigest()
         line, char = place(n.start)

@@ -155,3 +155,15 @@ function g($from, $to) { f(null, null, null, null); g($to, $from); g($from, $to)
     assert got == [(10, "argsReverse"), (10, "notNullSafetyFunctionArgumentConstFetch")]
     got = sorted((r.check_name, r.message.split()[-1]) for r in relational.docs(n, s).collect())
     assert got == [("funcParamTypeMissMatch", "<<string>>"), ("invalidDocblock", "$gone"), ("invalidDocblockRef", "Other"), ("invalidDocblockRef", "nowhere")]
+
+
+def names(spark, code):
+    return [r.check_name for r in checks.run(facts.nodes(sources.buffers(spark, {"a.php": "<?php\n" + code}))).collect()]
+
+
+def test_mixed_keys_of_all_items(spark):
+    keyed = ", ".join(f"'k{i}' => {i}" for i in range(100))
+    assert "mixedArrayKeys" in names(spark, f"$a = [{keyed}, 1];")
+    assert "mixedArrayKeys" in names(spark, "$a = [1, 2, 3, 4, 'k' => 5];")
+    assert "mixedArrayKeys" not in names(spark, f"$a = [{keyed}];")
+    assert "mixedArrayKeys" not in names(spark, "$a = [['a' => 1], ['b' => 2], fn($x) => $x];")
