@@ -89,7 +89,7 @@ def structural() -> list[Check]:
     lit = F.lit
     tests = _map(TYPE_TESTS)
     wanted = F.size(F.filter(text.directives(c("arg.value")), lambda d: d != "%%"))
-    formats = call("sprintf", "printf") & (c("arg.inner") == "String") & ~F.col("text").contains("...") & ~c("arg.value").rlike(r"%\d+\$")
+    formats = call("sprintf", "printf") & (c("arg.inner") == "String") & c("arg.any_spread").isNull() & ~c("arg.value").rlike(r"%\d+\$")
     out = [
         Check("syntax", ERROR, kind("SyntaxError"), a("message"), comment="Report syntax errors."),
         Check("emptyStmt", WARNING, kind("Nop") & F.col("parent_kind").isin("Block", "Case", "File", "Namespace") & ~(F.col("text") == "?>") & (F.col("role") == "stmt") & (F.col("parent_bare") == ""), "Semicolon (;) is not needed here, it can be safely removed"),
@@ -119,7 +119,7 @@ def structural() -> list[Check]:
         Check("langDeprecated", NOTICE, call("is_real"), "Use is_float function instead of is_real", default=False),
         Check("langDeprecated", NOTICE, call("define") & (args == 3), "Defining a constant with case-insensitive flag is deprecated"),
         Check("notExplicitNullableParam", NOTICE, kind("Param") & const_of("default", "null") & c("type.text").isNotNull() & ~c("type.text").rlike(r"(?i)^\?|\||^mixed$|^null$"), "parameter with null default value should be explicitly nullable", fix=F.concat(lit("?"), F.col("text"))),
-        Check("switchDefault", WARNING, kind("Switch") & ~(F.coalesce(c("case.default"), lit("")) == "1") & ~F.col("text").rlike(r"(?i)\bdefault\s*:"), "Add 'default' branch to avoid unexpected unhandled condition values", default=False),
+        Check("switchDefault", WARNING, kind("Switch") & c("case.any_default").isNull(), "Add 'default' branch to avoid unexpected unhandled condition values", default=False),
         Check("switchEmpty", WARNING, kind("Switch") & (n("case") == 0), "Switch has empty body"),
         Check("switchSimplify", NOTICE, kind("Switch") & ((n("case") == 1) | (n("case") == 2) & ((F.coalesce(c("case.default"), lit("")) == "1") | (F.coalesce(c("case1.default"), lit("")) == "1"))), "Switch can be rewritten into an 'if' statement to increase readability"),
         Check("dangerousBoolCondition", WARNING, kind("If", "Elseif", "While", "Do") & (const_of("cond", "true", "false") | (c("cond.kind") == "Int") & c("cond.value").isin("0", "1")), "Potential dangerous bool value: you have constant bool value in condition"),
@@ -222,8 +222,8 @@ def run(nodes: DataFrame, checks: list[Check] | None = None) -> DataFrame:
 
 
 def edits(nodes: DataFrame, checks: list[Check] | None = None) -> DataFrame:
-    """(path, start_pos, end_pos, replacement, check_name) of all quick fixes; nodes whose text a row cuts off have none."""
-    found = [F.when(x.when & (F.length("text") == F.col("end_pos") - F.col("start_pos")), F.struct(F.lit(x.name).alias("check_name"), x.fix.alias("replacement"))) for x in (structural() if checks is None else checks) if x.fix is not None]
+    """(path, start_pos, end_pos, replacement, check_name) of all quick fixes."""
+    found = [F.when(x.when, F.struct(F.lit(x.name).alias("check_name"), x.fix.alias("replacement"))) for x in (structural() if checks is None else checks) if x.fix is not None]
     hit = nodes.withColumn("_f", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())))
     return hit.select("path", "start_pos", "end_pos", "_f.replacement", "_f.check_name")
 

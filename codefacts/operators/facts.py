@@ -1,7 +1,8 @@
 """Files to fact tables: one parse of each file, one row for each syntax node.
 
 A row carries what most diagnostics ask about its direct children (kind, name, hash, value of the
-first child of each role), so that they are filters over one scan instead of joins.
+first child of each role), so that they are filters over one scan instead of joins. Texts are whole;
+only kinds and children whose text a check reads have one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ _TYPES = [("path", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32
 EFFECTS = {"MethodCall", "StaticCall", "New", "Assign", "IncDec", "Include", "Exit", "Eval", "Yield", "Print", "Throw", "Clone"}
 #: Built-in functions without effects.
 PURE_CALLS = {"strlen", "count", "sizeof", "in_array", "is_array", "is_string", "is_int", "is_null", "is_numeric", "isset", "trim", "ltrim", "rtrim", "substr", "strpos", "strtolower", "strtoupper", "implode", "explode", "array_keys", "array_values", "array_merge", "array_key_exists", "abs", "min", "max", "floor", "ceil", "round", "sprintf", "str_replace", "ucfirst", "lcfirst", "md5", "intval", "gettype", "dirname", "basename"}
-TEXT = 400  # characters of a node's text that a row keeps
+#: Nodes, and children by kind of parent and role, whose text a row keeps.
+TEXTS = {"Nop", "Float", "Call", "Array", "Param", "Assign", "Comment"}
+EQUALITY = {"==", "!=", "===", "!=="}  # of Binary
+CHILD_TEXTS = {"Param": {"type", "default"}, "Assign": {"left"}, "Index": {"base", "dim"}, "Call": {"arg"}, "Ternary": {"cond", "then", "else"}, "Item": {"key"}, "Case": {"cond"}}
 
 
 def rows(path: str, content: str) -> Iterator[dict]:
@@ -75,7 +79,9 @@ def rows(path: str, content: str) -> Iterator[dict]:
             if i < 3:
                 key = r if not i else f"{r}{i}"
                 inner = x.parts[0][1] if x.kind in ("Arg", "Item", "Paren") and x.parts else x
-                child[f"{key}.kind"], child[f"{key}.hash"], child[f"{key}.text"] = x.kind, h, content[x.start : min(x.end, x.start + TEXT)]
+                child[f"{key}.kind"], child[f"{key}.hash"] = x.kind, h
+                if r in CHILD_TEXTS.get(n.kind, ()):
+                    child[f"{key}.text"] = content[x.start : x.end]
                 if inner is not x:
                     child[f"{key}.inner"] = inner.kind
                 for name in ("name", "value", "op", "text", "default"):
@@ -83,13 +89,16 @@ def rows(path: str, content: str) -> Iterator[dict]:
                         child[f"{key}.{name}"] = inner.attrs[name]
         for r, k in counts.items():
             child[f"{r}.n"] = str(k)
+        for r, flag in (("arg", "spread"), ("case", "default")):
+            if any(s == r and flag in x.attrs for s, x in n.parts):
+                child[f"{r}.any_{flag}"] = "1"
         if n.kind == "Array":
             child |= {f"item.{'keyed' if any(s == 'key' for s, _ in x.parts) else 'unkeyed'}": "1" for r, x in n.parts if r == "item"}
         fixed = ",".join(f"{k}={v.lower() if n.kind in ('Name', 'Call', 'Const') else v}" for k, v in sorted(n.attrs.items()) if k not in ("long", "quote", "keyword", "raw", "raw_modifiers"))
         digest = md5(f"{n.kind}({fixed})[{'|'.join(below)}]".encode()).hexdigest()
         line, char = place(n.start)
         last = place(max(n.end - 1, n.start))
-        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "kids": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : min(n.end, n.start + TEXT)], "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1][:500]}
+        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "kids": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : n.end] if n.kind in TEXTS or n.kind == "Binary" and n.attrs.get("op") in EQUALITY else None, "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1][:500]}
         return digest, pure
 
     visit(tree, -1, None, "", 0, "", "", "")

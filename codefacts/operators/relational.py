@@ -87,7 +87,7 @@ def undefined(nodes: DataFrame, symbols: Symbols, known_functions: list[str] = (
     builtin = spark.createDataFrame([(x.lower(),) for x in known_functions], "builtin string")
     missing = j.where("f_key IS NULL").join(F.broadcast(builtin), F.col("root_key") == F.col("builtin"), "left_anti")
     hit = j.where("f_key IS NOT NULL")
-    spread = F.col("text").contains("...")
+    spread = c("arg.any_spread").isNotNull()
     out = [
         finding(missing, "undefinedFunction", ERROR, text_of("Call to undefined function %s", F.col("called"))),
         finding(hit.where((n("arg") < F.col("f_least")) & ~spread), "argCount", ERROR, text_of("Too few arguments for %s, expecting %d, saw %d", F.col("called"), F.col("f_least"), n("arg"))),

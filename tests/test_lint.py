@@ -167,3 +167,25 @@ def test_mixed_keys_of_all_items(spark):
     assert "mixedArrayKeys" in names(spark, "$a = [1, 2, 3, 4, 'k' => 5];")
     assert "mixedArrayKeys" not in names(spark, f"$a = [{keyed}];")
     assert "mixedArrayKeys" not in names(spark, "$a = [['a' => 1], ['b' => 2], fn($x) => $x];")
+
+
+def test_long_nodes_are_read_whole(spark):
+    long = ", ".join(f"'a long enough value {i}'" for i in range(60))
+    many = " ".join(["plain"] * 200)
+    code = f"<?php\n/** {many} recieve */\n$a = array({long});\nprintf('%d', {long}, ...$a);\nfunction f($x) {{ return $x; }}\n$s = 1;\nswitch ($s) {{ case 1: f('{many}'); break; case 2: f(2); break; default: f(3); }}\n$b = [\n{long.replace(', ', ',' + chr(10))}\n];\n"
+    buffers = {"a.php": code, "off.php": f"<?php\n/* {many} @linter disable */\nsleep(1);\n"}
+    files = sources.buffers(spark, buffers)
+    n = cut(facts.nodes(files))
+    found = {r.check_name for r in checks.run(n).where("filename = 'a.php'").collect()}
+    assert {"arraySyntax", "trailingComma"} <= found and not {"printf", "switchDefault"} & found
+    assert checks.misspelt(n, {"recieve": "receive"}).count() == 1
+    assert lint.report(files, n).where("filename = 'off.php'").count() == 0
+    assert f"$a = [{long}];" in {r.path: r.content for r in lint.fixed(files, n).collect()}["a.php"]
+
+
+def test_spread_after_long_arguments(spark):
+    long = ", ".join(f"'a long enough value {i}'" for i in range(60))
+    code = f"<?php\nfunction f($a, $b, $c) {{ return [$a, $b, $c]; }}\nf(['x', {long}], ...$r);\nf('...');\n"
+    n = cut(facts.nodes(sources.buffers(spark, {"a.php": code})))
+    found = relational.undefined(n, relational.Symbols(n)).where("check_name = 'argCount'").collect()
+    assert [r.line for r in found] == [4]
