@@ -1,13 +1,10 @@
-"""Line dedup by winnowing over line hashes: delete later copies of repeated runs of lines.
+"""Line dedup by hashes of runs of lines: delete later copies of repeated runs of lines.
 
 Natively: arrays and joins, no Python on the executors.
 
-* The lines of a text that aren't blank are hashed. In each window of ``window`` lines the
-  least hash (of equals the last) is its fingerprint; so is each line of ``min_words`` words or
-  more. Two texts that share a run of ``window`` lines share a fingerprint at the same place in it,
-  so every repeated run is met by one of its fingerprints.
-* A match is extended from the fingerprint both ways to the shortest run that qualifies: the
-  ``window`` lines, or fewer if they have ``min_words`` words. Runs are joined on their hash
+* The lines of a text that aren't blank are hashed. From every line the shortest run that
+  qualifies is taken both ways: ``window`` lines, or fewer if they have ``min_words`` words.
+* All of these runs are hashed; none is left out by winnowing. Runs are joined on their hash
   (with their length) to their first place, in order of (doc_id, text, line), so a place
   meets one earlier place and never all others.
 * Runs that have an earlier place are merged - their union is the longest match in both
