@@ -114,7 +114,7 @@ def unframes(records: list[bytes]) -> list[bytes]:
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Write all rows in ascending doc_id order (null first) below path; return the manifest.
+    """Write all rows in ascending doc_id order (null first; of equal ones the least hash of the text first) below path; return the manifest.
 
     The manifest (file_no, data, index, n_records, n_tokens) has one row for each file, and
     names only files of tasks that succeeded: a repeated task writes files of another name.
@@ -150,7 +150,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             yield pa.RecordBatch.from_pylist([{"file_no": part, "data": f"{name}.rec", "index": f"{name}.idx", "n_records": records, "n_tokens": tokens}], schema=pa.schema([("file_no", pa.int32()), ("data", pa.string()), ("index", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())]))
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return staged(ordered.mapInArrow(run, "file_no int, data string, index string, n_records long, n_tokens long"), "manifest")
 
 

@@ -3,22 +3,26 @@
 A sequence of tokens is what BPE yields for a word if every token is its own encoding and
 every adjacent pair is stable: undoing the merges from the border outwards, youngest first,
 never meets a pair that an older merge would have joined. Both are checked with array
-operations. Words that fail are
-merged exactly, all failing words at once: in each the pair of least rank, until none is left.
-Texts with unusual white space or characters go to the tokenizers library.
+operations. Words that fail are merged exactly, all failing words at once: in each the pair of
+least rank, until none is left. Texts in which words part at single spaces and newlines are cut
+there; texts with runs of white space, white space of other kinds or special tokens are cut by
+the vocabulary's own pattern. Both ways lead through the same speculation.
 """
 
 from __future__ import annotations
 
 import gc
 import json
-import os
 import re
 import unicodedata
-from array import array
+from bisect import bisect_right
+from typing import TYPE_CHECKING
 
 import numpy as np
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CACHE = 350_000  # chunks that a worker remembers; beyond it, chunks are encoded again
 _LOADED: dict[str, Bpe] = {}
 
@@ -38,18 +42,13 @@ class Bpe:
     def __init__(self, path: str) -> None:
         import ahocorasick
         import regex
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.lower = bool(spec.get("normalizer"))
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab: dict[str, int] = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         # order of a token: the single symbols first, then the others as merged
@@ -89,13 +88,13 @@ class Bpe:
         for c, byte in chars.items():
             self.symbols[ord(byte)] = order[c]
             self.last_symbols[ord(byte)] = order[c + self.end]
-        # words hold neither newlines nor zero bytes, so tokens with one can be left out
-        self.stop, self.border = "\n", "\0"
+        # two bytes that UTF-8 never has mark the end of a word; tokens with one can be left out
+        self.stop, self.border = "\xff", "\xfe"
         self.auto = ahocorasick.Automaton()
         for t, i in order.items():
             ends = self.end and t.endswith(self.end)
             plain = "".join(chars[c] for c in (t[: -len(self.end)] if ends else t))
-            if "\n" not in plain and "\0" not in plain:
+            if self.stop not in plain and self.border not in plain:
                 self.auto.add_word(plain + self.border * bool(ends), i)
         self.auto.add_word(self.stop, -1)
         if self.end:
@@ -108,16 +107,20 @@ class Bpe:
         self.lengths = np.array([len(texts.get(i, b"")) for i in range(n)], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(texts.get(i, b"") for i in range(n)), dtype=np.uint8)
+        self._regex, self.path, self.library = regex, path, None
+        self.others: dict[str, bool] = {}  # at most one for each code point that Python doesn't know
         # fixed values: the two files' word patterns
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.end else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        # white space of other kinds: its chunks, and texts that hold them, are left to the library
-        self.space = re.compile(r"[^\S \n]|\S\n")
-        self.spaced: set[str] = set()
-        self.unusual = re.compile("[^\n !-~\xa1-\u024f\u2010-\u2027]")
-        self.cache: dict[str, bytes] = {}
+        # special tokens are cut out of a text before anything else
+        self.marks = re.compile("(" + "|".join(re.escape(t) for t in special) + ")")
+        self.open = sorted({t[:2] for t in special})
+        self.space = re.compile(r"[^\S \n]")
+        self.cache: dict[str, bytes] = {}  # chunks between single spaces
+        self.pieces: dict[str, bytes] = {}  # matches of the pattern
+        self.marked = {t: i.to_bytes(4, "little") for t, i in special.items()}
         self.seen = np.zeros(1 << 23, dtype=bool)  # hashes of chunks met so far
-        self.newline = b"" if self.end else self._library(["\n"])[0]
         self.stats = {"words": 0, "merged": 0}
+        self.newline = b"" if self.end else self.words(["\n"])[0]
 
     def _index(self, keys: np.ndarray, product: np.ndarray) -> None:
         """A hash table of the merges: pair to product, with linear probing."""
@@ -154,10 +157,9 @@ class Bpe:
         """Ids of words by exact merging: in each the pair of least rank, again and again, for all words at once."""
         if not words:
             return []
-        flat = np.frombuffer(("\n".join(words) + "\n").encode(), dtype=np.uint8)
-        stops = np.flatnonzero(flat == 10)
-        n = np.diff(stops, prepend=-1) - 1
-        flat = flat[flat != 10]
+        raw = [w.encode() for w in words]
+        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        n = np.array([len(x) for x in raw], dtype=np.int64)
         s = self.symbols[flat]
         if self.end:
             s[np.cumsum(n) - 1] = self.last_symbols[flat[np.cumsum(n) - 1]]
@@ -202,18 +204,12 @@ class Bpe:
             a, b = np.where(young, self.right[a], a), np.where(young, b, self.left[b])
         return ok
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 5000):
-            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
-        return out
-
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words that the pattern leaves whole, as little-endian 32-bit bytes."""
         if not words:
             return []
-        mark = self.border * bool(self.end) + self.stop
-        big = (mark.join(words) + mark).encode().decode("latin-1")
+        mark = (self.border * bool(self.end) + self.stop).encode("latin-1")
+        big = (mark.join([w.encode() for w in words]) + mark).decode("latin-1")
         got = np.fromiter(self.auto.iter_long(big), dtype=[("end", np.int64), ("token", np.int64)])["token"]
         stops = np.flatnonzero(got == -1)
         word = np.repeat(np.arange(len(words)), np.diff(stops, prepend=-1))
@@ -235,17 +231,57 @@ class Bpe:
         self.stats["merged"] += len(failed)
         return out
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Encodings of chunks that are new."""
-        cache, get, newline = self.cache, self.cache.get, self.newline
-        new: dict[str, bytes] = {}
-        odd = [p for p in parts if self.unusual.search(p)] if self.unusual.search("".join(parts)) else []
-        self.spaced.update(p for p in odd if self.space.search(p))
-        if odd:
-            new.update(zip(odd, self._library([p if self.end else p[1:] if p[:1] == "\n" else " " + p for p in odd]), strict=True))
-            parts = [p for p in parts if p not in new]
+    def _plain(self, text: str) -> str:
+        """A text as the vocabulary's normaliser leaves it: composed, each character in lower case by itself."""
+        if not self.end:
+            return text
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self._library().normalizer.normalize_str(text)  # letters newer than Python's tables
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+
+    def _library(self) -> Tokenizer:
+        """The file as the tokenizers library reads it, for code points that Python doesn't know."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of a plain text by the vocabulary's pattern.
+
+        Code points newer than Python's tables are looked at one by one, since the tables of pattern
+        libraries differ on them: those that the file's own splitter calls neither letter nor digit.
+        """
+        if self.end and not text.isascii():
+            new = [c for c in set(text) if unicodedata.category(c) == "Cn"]
+            others = "".join(sorted(c for c in new if self._is_other(c)))
+            if others:
+                return self._regex.findall(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{others}]]+|[\p{{N}}--[{others}]]|(?:[^\s\p{{L}}\p{{N}}]|[{others}])+", text, self._regex.V1)
+        return self.pattern.findall(text)
+
+    def _is_other(self, c: str) -> bool:
+        if c not in self.others:
+            self.others[c] = len(self._library().pre_tokenizer.pre_tokenize_str("." + c)) == 1
+        return self.others[c]
+
+    def _remember(self, new: dict[str, bytes], cache: dict[str, bytes]) -> None:
+        """Keep chunks that have come before, in another batch, while there is room."""
+        if len(cache) < CACHE:
+            at = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) & (len(self.seen) - 1)
+            again = self.seen[at]
+            self.seen[at] = True
+            cache.update([x for x, known in zip(new.items(), again.tolist(), strict=True) if known])
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes | None]:
+        """Encodings of chunks that are new; None for those with white space of other kinds, whose texts are cut in another way."""
+        get, newline = self.cache.get, self.newline
+        new: dict[str, bytes | None] = {}
+        spaced = [p for p in parts if self.space.search(p)] if self.space.search(" ".join(parts)) else []
+        if spaced:
+            parts = list(set(parts).difference(spaced))
         if self.end:
-            plain = unicodedata.normalize("NFC", "\n".join(parts)).lower().split("\n") if parts else []
+            plain = self._plain("\n".join(parts)).replace("\n", " ").split(" ") if parts else []
             words = bodies = plain
         else:
             words = [p[1:] if p[:1] == "\n" else " " + p for p in parts]
@@ -254,11 +290,11 @@ class Bpe:
         # a chunk that is one word has just been missed under that word's key, unless it was changed
         found: dict[str, bytes | None] = {w: get(w) for _, w in whole} if self.end else dict.fromkeys([w for _, w in whole])
         split: list[tuple[str, list[str]]] = []
-        findall, end = self.pattern.findall, self.end
+        cut, end = self._cut, self.end
         for p, w, body in zip(parts, words, bodies, strict=True):
             if body.isalpha():
                 continue
-            pieces = [w[:-1], w[-1]] if body[-1:] in (".", ",") and body[:-1].isalpha() else findall(w)
+            pieces = [w[:-1], w[-1]] if body[-1:] in (".", ",") and body[:-1].isalpha() else cut(w)
             split.append((p, pieces))
             for x in pieces:
                 if x not in found:
@@ -271,12 +307,33 @@ class Bpe:
             new[p] = b"".join([found[w] for w in pieces])
         if newline:
             new.update((p, newline + ids) for p, ids in new.items() if p[:1] == "\n")
-        if len(cache) < CACHE:  # chunks that have come before, in another batch
-            at = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) & (len(self.seen) - 1)
-            again = self.seen[at]
-            self.seen[at] = True
-            cache.update([x for x, known in zip(new.items(), again.tolist(), strict=True) if known])
-        return new
+        self._remember(new, self.cache)
+        return new | dict.fromkeys(spaced)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts cut by the pattern, special tokens first."""
+        parts: list[str] = []
+        ends: list[int] = []
+        for text in texts:
+            for k, segment in enumerate(self.marks.split(text)):
+                if k % 2:
+                    parts.append(segment)
+                elif segment:
+                    parts += self._cut(self._plain(segment))
+            ends.append(len(parts))
+        held = self.pieces
+        distinct = [p for p in set(parts) if p not in held and p not in self.marked]
+        new = dict(zip(distinct, self.words(distinct), strict=True))
+        known = held | new | self.marked if len(new) > 10_000 else None
+        out, start = [], 0
+        for end in ends:
+            if known is not None:
+                out.append(b"".join([known[p] for p in parts[start:end]]))
+            else:
+                out.append(b"".join([held[p] if p in held else new[p] if p in new else self.marked[p] for p in parts[start:end]]))
+            start = end
+        self._remember(new, held)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian 32-bit bytes."""
@@ -304,7 +361,7 @@ class Bpe:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "<|" in text or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
+            if any(x in text for x in self.open) or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
                 odd.append(i)
                 continue
             plain.append(i)
@@ -321,18 +378,22 @@ class Bpe:
             except ValueError:
                 break
             missed.append(at)
+        spaced: set[int] = set()
         if missed:
             new = self._learn(list({flat[i] for i in missed}))
             for i in missed:
                 ids[i] = new[flat[i]]
+                if ids[i] is None:
+                    spaced.add(bisect_right(ends, i))
         start, cut = 0, len(self.newline)
-        for i, end in zip(plain, ends, strict=True):
-            if self.spaced and not self.spaced.isdisjoint(flat[start:end]):
+        for k, (i, end) in enumerate(zip(plain, ends, strict=True)):
+            if k in spaced:
                 odd.append(i)
-            out[i] = b"".join(ids[start:end])[cut:]
+            else:
+                out[i] = b"".join(ids[start:end])[cut:]
             start = end
         if odd:
-            for i, x in zip(odd, self._library([texts[i] for i in odd]), strict=True):
+            for i, x in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
                 out[i] = x
         return out
 

@@ -49,6 +49,28 @@ def test_words_beyond_the_cache(monkeypatch):
     assert b.stats["merged"] < b.stats["words"]
 
 
+def test_runs_of_white_space_and_other_scripts(monkeypatch):
+    """Paragraphs, indentation and other scripts take the same way as plain texts; the library is asked about unknown code points only."""
+    texts = ["One paragraph.\n\nAnother  one,\n    indented;\t\ttabbed.\r\n", "Привет, мир! Γειά σου ΚΌΣΜΕ 안녕 你好 שלום", "a<|endoftext|>\n\n<|startoftext|> b", "\u3000wide \u00a0 space\x85\x1c", *[x for x in ODD if x]]
+    for path in (WORD, BYTE):
+        b = Bpe(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(texts)] == library(path)(texts)
+        assert b.library is None
+        newer = ["a\u0558b \U00018d89\U00018d89. \ua7dcx"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in b.encode(newer)] == library(path)(newer)
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    import codefacts.llm.tokens as tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    b = Bpe(BYTE)
+    for k in range(40):
+        b.encode([f"tab\t{k} next  {k}\n\nword{k} {k}\tx" for _ in range(3)] * 2)
+        b.encode([f"tab\t{k} next  {k}\n\nword{k} {k}\tx"])
+    assert all(len(x) < 80 for x in (b.cache, b.pieces)) and len(b.others) == 0
+
+
 def test_decode():
     b, t = bpe(BYTE), Tokenizer.from_file(BYTE)
     for ids in library(BYTE)(ODD) + [[50256, 0, 220], [447, 447, 12]]:
@@ -131,6 +153,13 @@ def test_records(spark):
     assert token_records(docs(spark, []), BYTE).count() == 0
 
 
+def test_records_of_one_id(spark):
+    """Rows of one doc_id lie in order of their text's hash, whatever order they come in."""
+    rows = [(7, f"text {k}") for k in range(6)] + [(7, "text 0"), (3, "first")]
+    made = [[(r.doc_id, r.start, bytes(r.ids)) for r in token_records(spark.createDataFrame(x, "doc_id long, text string"), BYTE).collect()] for x in (rows, rows[::-1])]
+    assert sorted(made[0]) == sorted(made[1]) and len(made[0]) == 8
+
+
 def test_damage_is_found(spark):
     at = shared_path(spark, "damage")
     manifest = write_records(docs(spark, ODD), BYTE, at)
@@ -152,5 +181,16 @@ def test_query_digests(spark):
     word, byte = ({k: w + [2] for k, w in zip(texts, library(p)(list(texts.values())))} for p in (WORD, BYTE))
     for r in QUERIES["op10_records"](spark, sf).collect():
         assert (r.n_tokens, r.ids_crc32) == (len(byte[r.doc_id]), zlib.crc32(np.array(byte[r.doc_id], "<u4").tobytes()))
+    got = QUERIES["op6_bpe"](spark, sf).collect()
+    raw = dict(zip(texts, library(BYTE)(list(texts.values()))))
+    assert len(got) == len(texts)
+    for r in got:
+        ids, text = raw[r.doc_id], texts[r.doc_id] or ""
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    at = 0
+    for r in sorted(QUERIES["op5_packing"](spark, sf).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert (r.sequence_id, r.offset) == divmod(at, 4096)
+        at += r.length
+    assert at == sum(map(len, word.values()))
     for r in QUERIES["op5_packing"](spark, sf).collect():
         assert r.ids_crc32 == zlib.crc32(np.array(word[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
