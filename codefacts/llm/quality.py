@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import annotated, held_out
+from codefacts.llm.common import annotated, held_out, sliced, staged
 
 TRAIN_DOCS = 3000  # labelled documents that the model is fitted on, at most
+TRAIN_LINES = 100_000  # their lines, at most: documents are taken while they fit
+BLOCK = 500_000  # characters whose features are computed at once
 CLASSES = 9  # lower, upper, digit, space, sentence mark, shout mark, bar, other letter, other
 BASE = CLASSES * CLASSES + CLASSES + 9
 _CLASS: list[np.ndarray] = []
@@ -40,24 +42,27 @@ def _classes() -> np.ndarray:
     return _CLASS[0]
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each line, its length, its document) of texts; blank lines count too."""
+def line_features(texts: list[str], before: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]:
+    """(features of each line, its length, its document, the last line's mark) of texts; blank lines count too.
+
+    before: the mark of the line before the first text, where that goes on with its document.
+    """
     kind = _classes()
     big = "\n".join(texts) + "\n"
     code = np.frombuffer(big.encode("utf-32-le", "replace"), dtype=np.uint32)
     end = code == 10
     stops = np.flatnonzero(end)
     n_lines = len(stops)
-    line = np.cumsum(end) - end
+    line = np.cumsum(end, dtype=np.int32) - end
     length = np.diff(stops, prepend=-1) - 1
     per_doc = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
     doc = np.repeat(np.arange(len(texts)), per_doc)
-    c = kind[code]
+    c = kind[code].astype(np.int32)
     inner = ~end
     size = np.maximum(length, 1).astype(np.float64)
     one = np.bincount(line[inner] * CLASSES + c[inner], minlength=n_lines * CLASSES).reshape(n_lines, CLASSES)
     pair = inner[:-1] & inner[1:]
-    two = np.bincount((line[:-1] * CLASSES * CLASSES + c[:-1] * CLASSES + c[1:])[pair], minlength=n_lines * CLASSES * CLASSES).reshape(n_lines, -1)
+    two = np.bincount(line[:-1][pair].astype(np.int64) * (CLASSES * CLASSES) + (c[:-1] * CLASSES + c[1:])[pair], minlength=n_lines * CLASSES * CLASSES).reshape(n_lines, -1)
     # words: where they begin, their hash, their line
     gap = end | (c == 3)
     begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
@@ -81,9 +86,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     copy = np.zeros(n_lines)
     sums = np.add.reduceat(np.where(end, 0, code.astype(np.int64) ** 2), np.concatenate([[0], stops[:-1] + 1]))
     copy[1:] = (sums[1:] == sums[:-1]) & (length[1:] == length[:-1]) & (doc[1:] == doc[:-1]) & (length[1:] > 0)
+    copy[0] = before is not None and before == (int(sums[0]), int(length[0])) and length[0] > 0
     more = np.stack([np.log1p(length), np.log1p(words), repeats / count, long / count, distinct / count, copy, length == 0, (one[:, 0] + one[:, 1] + one[:, 7]) / size, one[:, 1] / np.maximum(one[:, 0] + one[:, 1], 1)], axis=1)
     x = np.concatenate([one / size[:, None], two / size[:, None], more], axis=1).astype(np.float32)
-    return x, length, doc
+    return x, length, doc, (int(sums[-1]), int(length[-1]))
 
 
 def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -101,10 +107,10 @@ def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(node: np.ndarray, trans: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(node: np.ndarray, trans: np.ndarray, doc: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(P(good) of each line, expected transitions, sum of log partition functions).
 
-    node: log-potentials (lines, 2), lines of a document together. Documents are stepped through
+    weight: what the transition out of each line counts in the second (all alike if missing). node: log-potentials (lines, 2), lines of a document together. Documents are stepped through
     side by side, the longest first, so that step t works on those with more than t lines.
     """
     n = len(node)
@@ -128,11 +134,16 @@ def marginals(node: np.ndarray, trans: np.ndarray, doc: np.ndarray) -> tuple[np.
     good = p[:, 1] / p.sum(axis=1)
     left = np.flatnonzero(np.concatenate([doc[1:] == doc[:-1], [False]]))
     both = fwd[left][:, :, None] * t[None] * (e[left + 1] * bwd[left + 1])[:, None, :] / scale[left + 1][:, None, None]
+    if weight is not None:
+        both = both * weight[left][:, None, None]
     return good, both.sum(axis=0), float(np.log(scale).sum() + top.sum())
 
 
-def _blocks(texts: list[str], limit: int = 500_000) -> Iterator[tuple[list[str], list[int]]]:
-    """(texts, their documents) of about ``limit`` characters each; long texts are cut between lines."""
+def _blocks(texts: list[str], limit: int) -> Iterator[tuple[list[str], list[int]]]:
+    """(texts, their documents) of about ``limit`` characters each; long texts are cut between lines.
+
+    A line is never cut, so one of more characters is a block of its own.
+    """
     held: list[str] = []
     of: list[int] = []
     size = 0
@@ -151,6 +162,15 @@ def _blocks(texts: list[str], limit: int = 500_000) -> Iterator[tuple[list[str],
         yield held, of
 
 
+def features(texts: list[str], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """line_features of texts, block by block and the same as of the whole; documents are numbered over all blocks."""
+    last, before = -1, None
+    for part, of in _blocks(texts, block):
+        x, length, doc, mark = line_features(part, before if of[0] == last else None)
+        last, before = of[-1], mark
+        yield x, length, np.array(of)[doc]
+
+
 class Crf:
     """Weights of the lines' features and of the four transitions."""
 
@@ -164,18 +184,18 @@ class Crf:
         z = np.clip(with_neighbours((x - mean) / sd, doc), -8, 8)
         w, t = np.zeros(z.shape[1]), np.zeros((2, 2))
         # each document counts alike: a long one is no more evidence than a short one
+        # (its lines and its transitions share that weight, so that both gradients are of one likelihood)
         size = np.bincount(doc, minlength=int(doc.max()) + 1)[doc]
         weight = 1.0 / size
         docs = weight.sum()
         m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
         left = np.flatnonzero(np.concatenate([doc[1:] == doc[:-1], [False]]))
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[left], y[left + 1]), 1.0)
-        pairs = max(1, len(left))
+        np.add.at(seen, (y[left], y[left + 1]), weight[left])
         for k in range(1, rounds + 1):
             u = z @ w
-            good, both, _ = marginals(np.stack([np.zeros(len(u)), u], axis=1), t, doc)
-            g = np.concatenate([z.T @ ((good - y) * weight) / docs + l2 * w, ((both - seen) / pairs + 1e-2 * t).ravel()])
+            good, both, _ = marginals(np.stack([np.zeros(len(u)), u], axis=1), t, doc, weight)
+            g = np.concatenate([z.T @ ((good - y) * weight) / docs + l2 * w, ((both - seen) / docs + 1e-2 * t).ravel()])
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
             w, t = w - step[:-4], t - step[-4:].reshape(2, 2)
@@ -184,17 +204,15 @@ class Crf:
     def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(P(good), length, document) of each line.
 
-        A long text is taken in blocks of lines; only the lines' potentials are kept. (A line that
-        begins a block counts as no copy of the one before.)
+        A long text is taken in blocks of lines, which change nothing; only the lines' potentials are kept.
         """
         w, k = self.weights, len(self.mean)
         by_line, lengths, docs = [], [], []
-        for part, of in _blocks(texts):
-            x, length, doc = line_features(part)
+        for x, length, doc in features(texts, BLOCK):
             z = np.clip((x - self.mean) / self.spread, -8, 8)
             by_line.append(z @ w[: 3 * k].reshape(3, k).T)
             lengths.append(length)
-            docs.append(np.array(of)[doc])
+            docs.append(doc)
         own, length, doc = np.concatenate(by_line), np.concatenate(lengths), np.concatenate(docs)
         same = doc[1:] == doc[:-1]
         u = own[:, 0] + w[3 * k]
@@ -211,25 +229,36 @@ class Crf:
         return np.bincount(doc, weights=good * weight, minlength=len(texts)) / np.bincount(doc, weights=weight, minlength=len(texts))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Crf | None:
+def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, lines: int = TRAIN_LINES, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Crf | None:
     """A model from at most ``limit`` labelled documents that aren't held out, by order of a hash of doc_id.
 
-    Their ids (a broadcast of ``limit`` numbers at most) pick the rows; line features are computed
-    on the executors. Labels that contradict each other are averaged. None without labels of both kinds.
+    Their ids (a broadcast of ``limit`` numbers at most) pick the rows; line features are computed and
+    kept on the executors' side, and those of at most ``lines`` lines come to the driver: documents
+    are taken in that order while they fit. Labels that contradict each other are averaged. None
+    without labels of both kinds.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     few = known.orderBy(F.xxhash64("id"), "id").limit(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, ys, ids = (c.to_pylist() for c in batch.columns)
             for t, y, i in zip(texts, ys, ids, strict=True):
-                x, _, _ = line_features([t or ""])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([x.astype(np.float16).tobytes()], pa.binary())], names=["id", "y", "x"])
+                n = (t or "").count("\n") + 1
+                if n <= lines:
+                    x = b"".join(x.astype(np.float16).tobytes() for x, _, _ in features([t or ""], BLOCK))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([n], pa.int64()), pa.array([x], pa.binary())], names=["id", "y", "n", "x"])
 
     picked = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc")).join(F.broadcast(few), F.col("doc") == F.col("id"))
-    rows = picked.select("text", "y", "id").mapInArrow(run, "id long, y int, x binary").toArrow()
-    got = sorted(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(1).to_pylist(), strict=True))
+    rows = staged(picked.select("text", "y", "id").mapInArrow(run, "id long, y int, n long, x binary"), "lines")
+    # copies of a doc_id are documents of their own: at most as many rows a number as the table has
+    sizes = rows.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id"), "id").limit(limit).collect()
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r.n <= lines:
+            chosen, total = [*chosen, r.id], total + r.n
+    kept = rows.where(F.col("id").isin(chosen)).select("id", "y", "x").toArrow()
+    got = sorted(zip(kept.column(0).to_pylist(), kept.column(2).to_pylist(), kept.column(1).to_pylist(), strict=True))
     if len({y for _, _, y in got}) < 2:
         return None
     xs = [np.frombuffer(x, dtype=np.float16).astype(np.float32).reshape(-1, BASE) for _, x, _ in got]
@@ -241,10 +270,10 @@ def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, text: st
 def scored(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
     """docs with a score for every row, 0 to 1, higher for good (a column ``score`` is replaced).
 
-    Null and empty texts are one blank line. Without a model (nothing to learn from) every score is 0.5.
+    Null and empty texts are one blank line. A text scores the same in blocks as whole. Without a model (nothing to learn from) every score is 0.5.
     """
 
     def of() -> Callable[[list[str]], dict[str, list]]:
         return lambda texts: {"score": np.full(len(texts), 0.5) if model is None else np.clip(model.scores(texts), 0.0, 1.0)}
 
-    return annotated(docs, of, "score double", text, 500_000)
+    return annotated(docs, of, "score double", text, BLOCK)
