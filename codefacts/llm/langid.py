@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import annotated, spread
+from codefacts.llm.common import annotated, sliced, spread
 
 SIZE = 300
-STEP = 1 << 22  # characters counted at once
+STEP = 1 << 20  # places counted at once
 _LETTER: list[np.ndarray] = []
 
 
@@ -28,28 +28,29 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, counts) of a lower-cased text; what isn't a letter is one border, written 1."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(text), STEP):
-        found.append(_grams(text[at : at + STEP]))
-    if len(found) == 1:
-        return found[0]
-    if not found:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-    return codes, np.bincount(back, weights=np.concatenate([n for _, n in found])).astype(np.int64)
-
+    """(n-grams, counts) of a lower-cased text; what isn't a letter is one border, written 1.
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    A long text is counted STEP places at a time, each with the two after it, so its counts are those of the whole.
+    """
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    c = np.where(_letters()[c], c, 1).astype(np.uint64)
-    c = np.concatenate([[np.uint64(1)], c, [np.uint64(1)]])
+    c = np.where(_letters()[c], c, np.uint32(1))
+    c = np.concatenate([[np.uint32(1)], c, [np.uint32(1)]])
     c = c[np.concatenate([[True], (c[1:] != 1) | (c[:-1] != 1)])]
     if len(c) < 3:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    found = [_grams(c[at : at + STEP + 2].astype(np.uint64), STEP) for at in range(0, len(c) - 1, STEP)]
+    if len(found) == 1:
+        return found[0]
+    codes, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return codes, np.bincount(back, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+
+
+def _grams(c: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that begin at the first ``places`` places of c, which holds two more of the text if there are."""
     two = c[:-1] | c[1:] << np.uint64(21)
     three = (two[:-1] | c[2:] << np.uint64(42))[c[1:-1] != 1]
-    every = np.concatenate([c[c != 1], two, three])
+    one = c[:places]
+    every = np.concatenate([one[one != 1], two[:places], three])
     every.sort()
     start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     return every[start], np.diff(start, append=len(every))
@@ -69,7 +70,7 @@ def profiles(docs: DataFrame, size: int = SIZE, text: str = "text", lang: str =
             n = np.bincount(back, weights=np.concatenate([m for _, m in held[name]])).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(name, []).append(grams(t))
                 if len(held[name]) >= 2000:

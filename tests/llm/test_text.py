@@ -1,12 +1,13 @@
 """Quality, language, SimHash and line dedup against plain versions."""
 
+import time
 import zlib
 
 import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from codefacts.llm import linededup, quality, simhash
+from codefacts.llm import langid, linededup, quality, simhash
 from codefacts.llm.common import components, held_out
 from codefacts.llm.langid import Ranks, grams, identified, profiles
 from codefacts.llm.queries import QUERIES
@@ -93,15 +94,19 @@ def test_quality_edges(spark):
     assert quality.scored(table(spark, []), model).count() == 0
 
 
-def test_quality_blocks():
+def test_quality_blocks(monkeypatch):
     """A text cut into blocks scores as it does whole."""
+    monkeypatch.setattr(quality, "BLOCK", 300)
     model = quality.Crf(np.zeros(quality.BASE), np.ones(quality.BASE), np.linspace(-0.1, 0.1, 3 * quality.BASE + 3), np.eye(2))
-    text = "\n".join(f"line {i} of words, BIG ones too!" * (i % 4) for i in range(400))
-    x, _, doc = quality.line_features([text])
+    text = "\n".join(f"line {i // 8} of words, BIG ones too!" * (i % 8 // 2) for i in range(400))
+    x, _, doc, _ = quality.line_features([text])
+    assert 0 < x[:, quality.BASE - 4].sum() < 400  # lines that copy the one before
+    assert np.array_equal(np.concatenate([b for b, _, _ in quality.features([text], 300)]), x)
     u = np.clip(quality.with_neighbours(x, doc), -8, 8) @ model.weights
     want, _, _ = quality.marginals(np.stack([np.zeros(len(u)), u], axis=1), model.trans, doc)
     got, _, _ = model.lines([text])
     assert np.allclose(got, want, atol=1e-5)
+    assert len(list(quality.features([text], 300))) > 20
     parts = list(quality._blocks([text, "", "a\nb"], limit=300))
     assert "\n".join(p for part, of in parts for p, i in zip(part, of) if i == 0) == text
 
@@ -134,6 +139,15 @@ def test_grams():
             assert want["".join("_" if c == 1 else chr(c) for c in chars)] == k
 
 
+def test_grams_of_long_texts(monkeypatch):
+    text = "Der Hund, the cat — là!\n" * 40 + "x" * 100 + " 12 " * 30 + "漢字"
+    whole = grams(text)
+    for step in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, grams(text)))
+    assert whole[1].sum() == sum(plain_grams(text).values())
+
+
 def test_language_edges(spark):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("no lang", None), (None, "en")])]
     found = profiles(table(spark, train))
@@ -283,6 +297,22 @@ def test_line_dedup(spark):
     assert linededup.deduplicated(table(spark, [])).count() == 0
 
 
+def test_long_text_of_different_lines(spark):
+    k = 100_000
+    rows = [(1, "\n".join(f"line {i} of one text" for i in range(k))), (2, "head\n" + "\n".join(f"line {i} of one text" for i in range(k - 50, k)))]
+    began = time.time()
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.deduplicated(table(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (50, "head")} and time.time() - began < 90
+
+
+def test_fingerprints_are_window_minima(spark):
+    """Every run selects one of its own lines, and all copies of a run select the same one."""
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny"), (3, "m\nb\nn\no")]
+    got = linededup.runs(table(spark, rows), 3, 50, "text", "doc_id").collect()
+    assert len(got) == 3 + 3 + 2 and all(len({r.fp for r in got if r.run == run}) == 1 for run in {r.run for r in got})
+    assert len({(r.doc_id, r.at) for r in got}) < len(got)
+
+
 def test_line_dedup_is_native(spark):
     import io
     from contextlib import redirect_stdout
