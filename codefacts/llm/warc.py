@@ -223,10 +223,12 @@ def convert(spark: SparkSession, arcs: DataFrame, path: str, least: int = 1000)
     shared = index.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max_by(F.struct("file_no", "offset", "url", "captured"), place).alias("kept"), F.count("*").alias("n")).where("n > 1")
     shared = staged(shared.select(F.col("payload_digest").alias("same"), F.col("payload_bytes").alias("same_bytes"), "kept"), "sharedpayloads")
     other = (F.col("payload_digest") == F.col("same")) & (F.col("payload_bytes") == F.col("same_bytes"))
-    each = index.select("file_no", "offset", "payload_digest", "payload_bytes").join(shared, other, "left")
-    mine = F.coalesce((F.col("kept.file_no") == F.col("file_no")) & (F.col("kept.offset") == F.col("offset")), F.lit(True))
-    each = each.select("file_no", "offset", *[F.when(~mine, F.col(f"kept.{c}")).alias(a) for c, a in (("file_no", "to_file"), ("offset", "to_offset"), ("url", "to_url"), ("captured", "to_date"))])
-    dealt = each.repartition(max(1, len(paths)), "file_no").sortWithinPartitions("file_no", "offset")
+    # only revisits are dealt to their file; the rest of a file is read from it anyway
+    each = index.where(F.col("payload_bytes") >= least).select("file_no", "offset", "payload_digest", "payload_bytes").join(shared, other)
+    each = each.where((F.col("kept.file_no") != F.col("file_no")) | (F.col("kept.offset") != F.col("offset")))
+    each = each.select("file_no", "offset", *[F.col(f"kept.{c}").alias(a) for c, a in (("file_no", "to_file"), ("offset", "to_offset"), ("url", "to_url"), ("captured", "to_date"))])
+    every = spark.createDataFrame([(no,) for no in sorted(paths)], "file_no int").withColumns({"offset": F.lit(-1).cast("long"), "to_file": F.lit(None).cast("int"), "to_offset": F.lit(None).cast("long"), "to_url": F.lit(None).cast("string"), "to_date": F.lit(None).cast("string")})
+    dealt = each.unionByName(every).repartitionByRange(max(1, len(paths)), "file_no").sortWithinPartitions("file_no", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 1):
@@ -323,5 +325,8 @@ def archived(pages: DataFrame, least: int = 1000, page_id: str = "page_id", url:
     warcs = convert(spark, write_arcs(pages, path, page_id=page_id, url=url, html=html), path, least)
     read = staged(read_warcs(spark, warcs, payloads=False).drop("payload"), "records")
     response = read.where("record_type = 'response'").select(F.col("record_id").alias("response_id"), F.col("page_id").alias("refers_to"))
-    joined = read.join(response, F.col("refers_to_id") == F.col("response_id"), "left")
-    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing: only revisits are joined
+    own = read.where("refers_to_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    joined = read.where("refers_to_id IS NOT NULL").join(response, F.col("refers_to_id") == F.col("response_id"), "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.select(columns).unionByName(joined.select(columns))
