@@ -104,8 +104,15 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8).T.copy()
 
 
-def search_shard(q: Quantiser, queries: np.ndarray, x: np.ndarray, keep: np.ndarray, own: np.ndarray, top: int, short: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, candidates, exact products) of the best candidates for each query; keep: candidates' ids, own: the queries'."""
+def search_shard(q: Quantiser | None, queries: np.ndarray, x: np.ndarray, keep: np.ndarray, own: np.ndarray, top: int, short: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, candidates, exact products) of the best candidates for each query; keep: candidates' ids, own: the queries'. Without a quantiser all are ranked exactly."""
+    if q is None:
+        for i, asked in enumerate(queries):
+            exact = (x * asked).sum(axis=1)
+            order = np.lexsort((keep, -exact))
+            order = order[keep[order] != own[i]][:top]
+            yield i, order, exact[order]
+        return
     codes = packed(q.encode(x))
     for a in range(0, len(queries), 64):
         tables = q.tables(queries[a : a + 64])
@@ -125,8 +132,8 @@ def nearest(table: DataFrame, top: int = 20, every: int = 20, vector: str = "emb
 
     Queries are the rows whose vec_id is divisible by ``every``; rows with a query's own vec_id are
     none of its candidates. Vectors that are null, empty, zero or hold null or non-finite components
-    take no part, nor do those of another length than the sample's most common one, nor rows without
-    vec_id. Of equal vectors, those of the top + 1 least vec_ids are scanned: no other can be in a
+    take no part, nor do rows without vec_id. Vectors meet only those of their own length; those of
+    another length than the sample's most common one are scanned exactly. Of equal vectors, those of the top + 1 least vec_ids are scanned: no other can be in a
     result. Repeated vec_ids with equal vectors count once. Ties go to the smaller vec_id.
     """
     spark = table.sparkSession
@@ -136,27 +143,28 @@ def nearest(table: DataFrame, top: int = 20, every: int = 20, vector: str = "emb
     if not len(model_on):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     q = Quantiser.fit(model_on)
-    rows = staged(rows.where(F.size("v") == model_on.shape[1]).dropDuplicates(["vec_id", "v"]), "vectors")
+    dims = model_on.shape[1]
+    rows = staged(rows.dropDuplicates(["vec_id", "v"]).withColumn("d", F.size("v")), "vectors")
     copies = Window.partitionBy("v").orderBy("vec_id")
     least = rows.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= top + 1)
     wanted = rows.where(F.col("vec_id") % every == 0)
     n, m = rows.count(), wanted.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     # a shard's rows go to each block of queries, a block's queries to each shard
-    candidates = least.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), "vec_id", "v")
-    asked = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("side"), "vec_id", "v")
-    units = candidates.unionByName(asked).repartition("s", "b").sortWithinPartitions("s", "b", "side")
+    candidates = least.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), "vec_id", "v", "d")
+    asked = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("side"), "vec_id", "v", "d")
+    units = candidates.unionByName(asked).select("d", "s", "b", "side", "vec_id", "v").repartition("d", "s", "b").sortWithinPartitions("d", "s", "b", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 2):
-            side, ids = g.column(2).to_numpy(), g.column(3).to_numpy()
+        for g in groups(batches, 3):
+            side, ids = g.column(3).to_numpy(), g.column(4).to_numpy()
             if not (side == 0).any() or not (side == 1).any():
                 continue
-            v = matrix(g.column(4))
+            v = matrix(g.column(5))
             x, asked_ = v[side == 0], v[side == 1]
             keep, own = ids[side == 0], ids[side == 1]
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i, best, exact in search_shard(q, asked_, x, keep, own, top, short):
+            for i, best, exact in search_shard(q if v.shape[1] == dims else None, asked_, x, keep, own, top, short):
                 out.append((np.full(len(best), own[i]), keep[best], exact))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["query_id", "vec_id", "score"])
 

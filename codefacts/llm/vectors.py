@@ -18,8 +18,11 @@ def usable(vector: Column | str) -> Column:
 
 
 def sample(df: DataFrame, vector: str, limit: int) -> np.ndarray:
-    """At most ``limit`` vectors of the most common length, by order of a hash: the bounded sample that models fit on."""
-    rows = df.select(vector).orderBy(F.xxhash64(vector)).limit(limit).toArrow().column(0).to_pylist()
+    """At most ``limit`` distinct vectors of the most common length, by order of a hash: the bounded sample that models fit on."""
+    hashed = df.select(F.xxhash64(vector).alias("h"), F.col(vector).alias("v"))
+    least = hashed.select("h").distinct().orderBy("h").limit(limit)
+    once = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.first("v").alias("v"))  # (copies are merged before the shuffle)
+    rows = once.orderBy("h").select("v").toArrow().column(0).to_pylist()
     if not rows:
         return np.empty((0, 0))
     sizes, counts = np.unique([len(r) for r in rows], return_counts=True)
