@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases that mark a generated file; both kinds must occur in its first comment lines.
@@ -10,21 +14,25 @@ DO_NOT_EDIT = r"do not (edit|modify)"
 GENERATED = r"auto-?\s?generated"
 
 
-def lines(content: Column) -> Column:
-    """Lines of a text with their byte offset: array of (line_no from 1, text, byte_pos).
+def lines(files: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, line_no from 1, text, byte_pos) of every line of a text; null texts have none.
 
-    Offsets are prefix sums inside the row, so no row leaves its partition.
+    One pass over each text, linear in its size; texts are cut where they are read.
     """
-    parts = F.split(content, "\n", -1)
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<line_no:int,text:string,byte_pos:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.octet_length(x) + 1).cast("long").alias("at"),
-            F.concat(acc["out"], F.array(F.struct((F.size(acc["out"]) + 1).cast("int").alias("line_no"), x.alias("text"), acc["at"].cast("long").alias("byte_pos")))).alias("out"),
-        ),
-    )
-    return step["out"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                if value is None:
+                    continue
+                parts = value.encode().split(b"\n")
+                at = np.cumsum([0, *(len(x) + 1 for x in parts[:-1])])
+                for a in range(0, len(parts), 10_000):
+                    m = len(parts[a : a + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], m), pa.array(np.arange(a + 1, a + m + 1, dtype=np.int32)), pa.array(parts[a : a + m], pa.binary()).cast(pa.string()), pa.array(at[a : a + m], pa.int64())], names=["key", "line_no", "text", "byte_pos"])
+
+    d = files.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return d.mapInArrow(run, f"key {d.schema['key'].dataType.simpleString()}, line_no int, text string, byte_pos long").withColumnRenamed("key", key)
 
 
 def auto_generated(content: Column, first: int = 15) -> Column:

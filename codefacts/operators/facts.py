@@ -13,7 +13,7 @@ from hashlib import md5
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codefacts.sources.php import Node, ParseError, parse
+from codefacts.sources.php import DEEP, Node, ParseError, parse
 
 NODES = (
     "path string, node_id int, parent_id int, last_id int, ord int, role string, kind string, parent_kind string, parent_bare string, ns string, cls string, fn string, "
@@ -29,6 +29,8 @@ EFFECTS = {"MethodCall", "StaticCall", "New", "Assign", "IncDec", "Include", "Ex
 PURE_CALLS = {"strlen", "count", "sizeof", "in_array", "is_array", "is_string", "is_int", "is_null", "is_numeric", "isset", "trim", "ltrim", "rtrim", "substr", "strpos", "strtolower", "strtoupper", "implode", "explode", "array_keys", "array_values", "array_merge", "array_key_exists", "abs", "min", "max", "floor", "ceil", "round", "sprintf", "str_replace", "ucfirst", "lcfirst", "md5", "intval", "gettype", "dirname", "basename"}
 #: Nodes, and children by kind of parent and role, whose text a row keeps.
 TEXTS = {"Nop", "Float", "Call", "Array", "Param", "Assign", "Comment"}
+#: Longer lines aren't repeated in each of their nodes' rows; findings look them up (``with_context``).
+CONTEXT = 500
 EQUALITY = {"==", "!=", "===", "!=="}  # of Binary
 CHILD_TEXTS = {"Param": {"type", "default"}, "Assign": {"left"}, "Index": {"base", "dim"}, "Call": {"arg"}, "Ternary": {"cond", "then", "else"}, "Item": {"key"}, "Case": {"cond"}}
 
@@ -80,6 +82,8 @@ def rows(path: str, content: str) -> Iterator[dict]:
                 key = r if not i else f"{r}{i}"
                 inner = x.parts[0][1] if x.kind in ("Arg", "Item", "Paren") and x.parts else x
                 child[f"{key}.kind"], child[f"{key}.hash"] = x.kind, h
+                if r == "cond":
+                    child[f"{key}.pure"] = str(int(p))
                 if r in CHILD_TEXTS.get(n.kind, ()):
                     child[f"{key}.text"] = content[x.start : x.end]
                 if inner is not x:
@@ -98,7 +102,7 @@ def rows(path: str, content: str) -> Iterator[dict]:
         digest = md5(f"{n.kind}({fixed})[{'|'.join(below)}]".encode()).hexdigest()
         line, char = place(n.start)
         last = place(max(n.end - 1, n.start))
-        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "kids": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : n.end] if n.kind in TEXTS or n.kind == "Binary" and n.attrs.get("op") in EQUALITY else None, "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1][:500]}
+        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "kids": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : n.end] if n.kind in TEXTS or n.kind == "Binary" and n.attrs.get("op") in EQUALITY else None, "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1] if len(lines[line - 1]) <= CONTEXT else None}
         return digest, pure
 
     visit(tree, -1, None, "", 0, "", "", "")
@@ -111,7 +115,7 @@ def nodes(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sys
 
-        sys.setrecursionlimit(20_000)
+        sys.setrecursionlimit(DEEP)
         schema = pa.schema(_TYPES)
         held: list[dict] = []
         for batch in batches:
@@ -126,6 +130,16 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, NODES)
 
 
+def with_context(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with the whole line as context where a row held none; only files with such lines are joined."""
+    from pyspark.sql import functions as F
+
+    lines = F.split("content", "\n", -1)
+    long = files.where(F.exists(lines, lambda x: F.length(x) > CONTEXT)).select(F.col("path").alias("_path"), lines.alias("_lines"))
+    missing = found.where("context IS NULL").join(long, F.col("filename") == F.col("_path"), "left")
+    return found.where("context IS NOT NULL").unionByName(missing.withColumn("context", F.get("_lines", F.col("line") - 1)).select(found.columns))
+
+
 def cached(files: DataFrame, at: str) -> DataFrame:
     """nodes() of files, with those parsed before read from the table at ``at``.
 

@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.session import cut
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", limit: int = 64) -> DataFrame:
-    """(child, ancestor, depth): semi-naive, one join of the newest pairs in each round.
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(child, ancestor, depth): semi-naive, one join of the newest pairs in each round, until none is new.
 
-    A pair keeps its least depth, so cycles end; depth is at most ``limit``. Rounds are cut by checkpoints.
+    A pair keeps its least depth, so cycles end. Rounds are cut by checkpoints and put together at the end.
     """
     base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).distinct().withColumn("depth", F.lit(1).cast("long"))
     step = base.select(F.col("child").alias("via"), F.col("ancestor").alias("up"))
-    all_, new = cut(base), base
-    for depth in range(2, limit + 1):
+    rounds = [cut(base)]
+    while True:
+        known = reduce(DataFrame.unionByName, rounds)
         new = cut(
-            new.join(step, F.col("ancestor") == F.col("via")).select("child", F.col("up").alias("ancestor")).distinct()
-            .join(all_, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+            rounds[-1].join(step, F.col("ancestor") == F.col("via")).select("child", F.col("up").alias("ancestor")).distinct()
+            .join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(len(rounds) + 1).cast("long"))
         )
         if new.isEmpty():
-            break
-        all_ = cut(all_.unionByName(new))
-    return all_
+            return known
+        rounds.append(new)
 
 
 def resolve(wanted: DataFrame, members: DataFrame, ancestors: DataFrame, ranks: list[str]) -> DataFrame:

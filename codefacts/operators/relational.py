@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.operators import hierarchy
-from codefacts.operators.checks import ERROR, NOTICE, WARNING, a, c, kind, located, n, text_of
+from codefacts.operators.checks import ERROR, NOTICE, WARNING, a, c, has, kind, located, n, text_of
 from codefacts.session import cut
 
 #: Names that are always declared.
@@ -174,7 +174,10 @@ def siblings(nodes: DataFrame, symbols: Symbols) -> DataFrame:
 
     items = nodes.where(kind("Item") & c("key.kind").isin("String", "Int", "Const", "ClassConstFetch") & (F.col("parent_kind") == "Array")).withColumn("by", F.when(c("key.kind").isin("String", "Int"), c("key.value")).otherwise(c("key.hash")))
     conds = nodes.where(kind("Case") & c("cond.hash").isNotNull()).withColumn("by", c("cond.hash"))
-    catches = nodes.where(kind("Catch") & (n("type") == 1)).withColumn("by", F.lower(c("type.name")))
+    # a clause of several types exempts its whole try
+    several = nodes.where(kind("Catch") & (n("type") > 1)).select(*key).distinct()
+    single = nodes.where(kind("Catch") & (n("type") == 1)).join(several, key, "left_anti")
+    catches = single.withColumn("by", F.lower(c("type.name")))
     globals_ = nodes.where(kind("Var") & (F.col("parent_kind") == "Global")).withColumn("by", a("name"))
     out = [
         finding(again(items, "by"), "dupArrayKeys", WARNING, text_of("Duplicate array key %s", c("key.text"))),
@@ -182,10 +185,12 @@ def siblings(nodes: DataFrame, symbols: Symbols) -> DataFrame:
         finding(again(catches, "by"), "dupCatch", WARNING, text_of("Duplicated catch on %s", c("type.name"))),
         finding(again(globals_, "by"), "dupGlobal", WARNING, text_of("Global statement mentions $%s more than once", a("name"))),
     ]
-    ifs = nodes.where(kind("If")).select("path", F.col("node_id").alias("parent_id"), c("cond.hash").alias("first_hash"), F.col("pure").alias("first_pure"))
-    out.append(finding(nodes.where(kind("Elseif")).join(ifs, key).where((c("cond.hash") == F.col("first_hash"))), "dupCond", WARNING, "Duplicated condition in if-else chain"))
+    # conditions without effects that stand earlier in their chain: that of the if itself, then those of its elseifs
+    ifs = nodes.where(kind("If") & has("elseif") & (c("cond.pure") == "1")).withColumns({"parent_id": F.col("node_id"), "ord": F.lit(-1)})
+    chain = ifs.unionByName(nodes.where(kind("Elseif") & (c("cond.pure") == "1"))).withColumn("by", c("cond.hash"))
+    out.append(finding(again(chain, "by"), "dupCond", WARNING, "This condition stands earlier in the same if-else chain"))
     up = symbols.closure.select(F.col("child").alias("sub"), F.col("ancestor").alias("sup"))
-    full = resolved(nodes.where(kind("Catch") & (n("type") == 1)).withColumn("name", c("type.name")), nodes, "name").withColumn("key", F.lower("full"))
+    full = resolved(single.withColumn("name", c("type.name")), nodes, "name").withColumn("key", F.lower("full"))
     earlier = full.select(F.col("path").alias("e_path"), F.col("parent_id").alias("e_id"), F.col("ord").alias("e_ord"), F.col("key").alias("e_key"), F.col("full").alias("e_full"))
     covered = full.join(earlier, (F.col("path") == F.col("e_path")) & (F.col("parent_id") == F.col("e_id")) & (F.col("e_ord") < F.col("ord"))).join(up, (F.col("key") == F.col("sub")) & (F.col("e_key") == F.col("sup")))
     out.append(finding(covered.dropDuplicates(["path", "node_id"]), "catchOrder", WARNING, text_of("Catch %s block will never run as it extends %s which is caught above", F.col("full"), F.col("e_full"))))

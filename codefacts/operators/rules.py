@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codefacts.sources.php import Node, ParseError, parse
+from codefacts.sources.php import DEEP, Node, ParseError, parse
 
 CLASSES: dict[str, Callable[[Node], bool]] = {
     "var": lambda n: n.kind in ("Var", "VarVar"),
@@ -148,6 +148,7 @@ def apply(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import bisect
+        import sys
 
         by_kind: dict[str, list[tuple[Rule, Node]]] = {}
         for r in rules:
@@ -155,6 +156,7 @@ def apply(files: DataFrame, rules: list[Rule]) -> DataFrame:
                 tree = compile_pattern(p)
                 by_kind.setdefault("" if meta(tree) else tree.kind, []).append((r, tree))
         schema = pa.schema([("check_name", pa.string()), ("level", pa.int32()), ("context", pa.string()), ("message", pa.string()), ("filename", pa.string()), ("line", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("replacement", pa.string())])
+        sys.setrecursionlimit(DEEP)
         for batch in batches:
             out = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -179,7 +181,7 @@ def apply(files: DataFrame, rules: list[Rule]) -> DataFrame:
                         k = bisect.bisect_left(breaks, n.start) - 1
                         line = content.split("\n", k + 1)[k]
                         at = n.start - breaks[k] - 1
-                        out.append({"check_name": r.name, "level": r.level, "context": line[:500], "message": fill(r.message, held, whole, True), "filename": path, "line": k + 1, "start_char": at, "end_char": min(at + n.end - n.start, len(line)), "replacement": None if r.fix is None else fill(r.fix, held, whole, False)})
+                        out.append({"check_name": r.name, "level": r.level, "context": line, "message": fill(r.message, held, whole, True), "filename": path, "line": k + 1, "start_char": at, "end_char": min(at + n.end - n.start, len(line)), "replacement": None if r.fix is None else fill(r.fix, held, whole, False)})
                         break
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)

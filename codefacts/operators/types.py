@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from codefacts.functions import sets
 from codefacts.operators.checks import NOTICE, located
 from codefacts.session import cut
-from codefacts.sources.php import Node, ParseError, parse
+from codefacts.sources.php import DEEP, Node, ParseError, parse
 
 BOOL_OPS = {"==", "!=", "===", "!==", "<", "<=", ">", ">=", "&&", "||", "and", "or", "xor"}
 SCALARS = {"int", "float", "string", "bool", "null", "array", "mixed", "void", "callable", "iterable", "object", "self", "static", "false", "true", "never"}
@@ -219,7 +219,10 @@ def expressions(files: DataFrame) -> DataFrame:
     """(path, fn, kind, start_pos, end_pos, types, returned) of every expression and return; sets are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sys
+
         schema = pa.schema([("path", pa.string()), ("fn", pa.string()), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("types", pa.list_(pa.string())), ("returned", pa.bool_())])
+        sys.setrecursionlimit(DEEP)
         for batch in batches:
             out = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -236,8 +239,12 @@ def expressions(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, TYPED)
 
 
-def return_types(typed: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
-    """(fn, types) of every function (A13): its hint, else the union of what it returns, else void."""
+def return_types(typed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fn, types) of every function (A13): its hint, else the union of what it returns, else void.
+
+    A lazy call is replaced by what its function returns, one step in each round, until none is left;
+    a call met before adds nothing, so cycles end. A function that reaches itself is mixed as well.
+    """
     hints = nodes.where((F.col("kind") == "Type") & (F.col("role") == "ret") & (F.col("parent_kind") == "Function")).select(F.lower(F.substring_index("fn", "\\", -1)).alias("h_fn"), F.col("attrs")["text"].alias("h_text"))
     hinted = hints.groupBy("h_fn").agg(F.min("h_text").alias("h_text"))
     low = F.lower(F.regexp_replace("h_text", r"^\?", ""))
@@ -247,12 +254,13 @@ def return_types(typed: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFra
     returns = typed.where("returned").groupBy(F.lower("fn").alias("r_fn")).agg(sets.merged(F.col("types")).alias("r_types"))
     t = all_fns.join(hinted, F.col("fn") == F.col("h_fn"), "left").join(returns, F.col("fn") == F.col("r_fn"), "left")
     t = cut(t.select("fn", F.coalesce(F.when(F.col("h_text").isNotNull(), F.array_sort(members)), F.col("r_types"), F.array(F.lit("void"))).alias("types")))
-    for _ in range(rounds):
-        if t.where(F.exists("types", lambda x: F.startswith(x, F.lit("()")))).isEmpty():
-            return t
-        t = cut(resolve(t, t, ["fn"]))
-    # what is still lazy calls itself
-    return t.select("fn", F.array_sort(F.array_distinct(F.transform("types", lambda x: F.when(F.startswith(x, F.lit("()")), F.lit("mixed")).otherwise(x)))).alias("types"))
+    lazies = F.filter("types", lambda x: F.startswith(x, F.lit("()")))
+    step, t = t, t.withColumn("seen", F.array().cast("array<string>"))
+    while not t.where(F.size(lazies) > 0).isEmpty():
+        met = t.withColumn("met", F.array_union("seen", lazies))
+        new = resolve(t, step, ["fn"])
+        t = cut(new.join(met.select("fn", "met"), "fn").select("fn", F.filter("types", lambda x: ~F.startswith(x, F.lit("()")) | ~F.array_contains("met", x)).alias("types"), F.col("met").alias("seen")))
+    return t.select("fn", F.when(F.size("types") == 0, F.array(F.lit("mixed"))).otherwise(F.col("types")).alias("types"))
 
 
 def resolve(typed: DataFrame, returns: DataFrame, keys: list[str]) -> DataFrame:

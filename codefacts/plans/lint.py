@@ -28,7 +28,7 @@ def all_findings(files: DataFrame, nodes: DataFrame | None = None, known_functio
         parts.append(checks.misspelt(n, typos))
     if typed:
         parts.append(types.redundant_casts(n, types.expressions(files)))
-    return reduce(DataFrame.unionByName, [p.select(checks.FINDINGS) for p in parts])
+    return facts.with_context(reduce(DataFrame.unionByName, [p.select(checks.FINDINGS) for p in parts]), files)
 
 
 def report(files: DataFrame, nodes: DataFrame | None = None, disabled: list[str] | None = None, exclude: str | None = None, known_functions: list[str] = (), generated: bool = False, **more: object) -> DataFrame:

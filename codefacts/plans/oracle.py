@@ -41,7 +41,7 @@ FROM l""")
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines and their byte offsets, inside the row."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(text.lines(F.col("text"))).alias("l")).select("doc_id", "l.line_no", F.md5("l.text").alias("line_md5"), "l.byte_pos")
+    return text.lines(d, "text", "doc_id").select("doc_id", "line_no", F.md5("text").alias("line_md5"), "byte_pos")
 
 
 @query("""
@@ -154,7 +154,7 @@ CLOSURE_EDGES = """SELECT DISTINCT child, parent FROM (
 
 @query(f"""
 WITH RECURSIVE e AS ({CLOSURE_EDGES}), c(child, ancestor, depth) AS (
-  SELECT child, parent, 1::BIGINT FROM e UNION SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE c.depth < 64)
+  SELECT child, parent, 1::BIGINT FROM e UNION SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child)
 SELECT child, ancestor, min(depth) AS depth FROM c GROUP BY child, ancestor""")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closure of a hierarchy by semi-naive rounds."""

@@ -18,10 +18,15 @@ def directory(spark: SparkSession, path: str, extensions: list[str] = ("php", "i
     """
     glob = "*.{" + ",".join(extensions) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    out = raw.select("path", F.decode("content", "UTF-8").alias("content"))
+    out = raw.select("path", decoded(F.col("content")).alias("content"))
     return out.where(~F.col("path").rlike(exclude)) if exclude else out
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; what isn't UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def buffers(spark: SparkSession, given: dict[str, str]) -> DataFrame:
     """Files from memory."""
     return spark.createDataFrame(sorted(given.items()), FILES)

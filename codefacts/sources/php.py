@@ -8,6 +8,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 
+#: Nesting that the recursive passes over a file allow; calls between Python functions need no C stack.
+DEEP = 1_000_000
+
+
 @dataclass(slots=True)
 class Token:
     kind: str  # var name number string template op cast html comment doc end

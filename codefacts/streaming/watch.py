@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codefacts.operators import checks, facts
+from codefacts.sources.files import decoded
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,7 +19,7 @@ def watch(spark: SparkSession, directory: str, sink: str, checkpoint: str, patte
     state and no watermark; the checkpoint makes every file count once.
     """
     raw = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).load(directory)
-    files = raw.select("path", F.decode("content", "UTF-8").alias("content"))
+    files = raw.select("path", decoded(F.col("content")).alias("content"))
     found: DataFrame = checks.run(facts.nodes(files))
     writer = found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
