@@ -25,9 +25,15 @@ def baseline_suppress(findings: DataFrame, baseline: DataFrame, order: list[str]
     return new.unionByName(more)
 
 
-def severity_stats(findings: DataFrame, level: str = "level") -> DataFrame:
-    """One row of counts; every level but notice (3) is critical."""
-    return findings.agg(
+def ranking(findings: DataFrame, check: str = "check_name", by: list[str] = ()) -> DataFrame:
+    """(*by, check_name, n, place): checks by their number of findings, ties by name; the window sees one row for each check."""
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), check) if by else Window.orderBy(F.desc("n"), check)
+    return findings.groupBy(*by, check).agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def severity_stats(findings: DataFrame, level: str = "level", by: list[str] = ()) -> DataFrame:
+    """A row of counts (one for each group of ``by``); every level but notice (3) is critical."""
+    return findings.groupBy(*by).agg(
         F.count("*").alias("n_all"),
         F.count_if(F.col(level) != 3).alias("n_critical"),
         F.count_if(F.col(level) == 3).alias("n_minor"),

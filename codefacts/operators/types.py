@@ -43,6 +43,8 @@ def narrow(types: set[str], cond: Node | None, scope: dict[str, set[str]]) -> di
         return narrow(types, cond.get("expr"), scope)
     if cond.kind == "Binary" and cond.attrs["op"] in ("&&", "and"):
         return narrow(types, cond.get("right"), narrow(types, cond.get("left"), scope))
+    if (name := not_null(cond)) is not None:
+        return scope | {name: scope.get(name, {"mixed"}) - {"null"} or {"mixed"}}
     if cond.kind == "Instanceof" and cond.get("expr").kind == "Var" and cond.get("class").kind == "Name":
         return scope | {cond.get("expr").attrs["name"]: {"\\" + cond.get("class").attrs["name"].lstrip("\\")}}
     if cond.kind == "Call" and cond.attrs["name"].lower() in ("is_int", "is_string", "is_bool", "is_float", "is_array", "is_null"):
@@ -53,6 +55,48 @@ def narrow(types: set[str], cond: Node | None, scope: dict[str, set[str]]) -> di
     return scope
 
 
+def _null_test(cond: Node, ops: tuple[str, str]) -> str | None:
+    """The variable that a comparison with null by one of ``ops`` is about."""
+    if cond.kind == "Binary" and cond.attrs["op"] in ops:
+        sides = [cond.get("left"), cond.get("right")]
+        for v, other in (sides, sides[::-1]):
+            if v.kind == "Var" and other.kind == "Const" and other.attrs["name"].lower() == "null":
+                return v.attrs["name"]
+    return None
+
+
+def _tested(n: Node) -> str | None:
+    """The variable that isset() or a bare condition is about."""
+    if n.kind == "Isset" and len(n.parts) == 1:
+        n = n.parts[0][1].parts[0][1] if n.parts[0][1].parts else n
+    return n.attrs["name"] if n.kind == "Var" else None
+
+
+def not_null(cond: Node) -> str | None:
+    """A variable that isn't null where the condition holds."""
+    if cond.kind == "Unary" and cond.attrs["op"] == "!":
+        return is_null(cond.get("expr"))
+    return _null_test(cond, ("!==", "!=")) or _tested(cond)
+
+
+def is_null(cond: Node) -> str | None:
+    """A variable that isn't null where the condition doesn't hold."""
+    if cond.kind == "Paren":
+        return is_null(cond.get("expr"))
+    if cond.kind == "Unary" and cond.attrs["op"] == "!":
+        return _tested(cond.get("expr"))
+    if cond.kind == "Call" and cond.attrs["name"].lower() == "is_null" and (a := cond.get("arg")) is not None and a.parts:
+        return _tested(a.parts[0][1])
+    return _null_test(cond, ("===", "=="))
+
+
+def leaves(n: Node | None) -> bool:
+    """Does a block end by leaving its function or loop?"""
+    if n is None or n.kind == "Block":
+        return bool(n and n.parts) and leaves(n.parts[-1][1])
+    return n.kind in ("Return", "Continue", "Break") or n.kind == "Expr" and n.get("expr").kind in ("Throw", "Exit")
+
+
 class Typer:
     def __init__(self) -> None:
         self.found: list[tuple[str, Node, set[str], bool]] = []
@@ -85,8 +129,11 @@ class Typer:
                 self.type(arm.get("cond"), scope)
                 inner = dict(narrow(set(), arm.get("cond"), scope))
                 self.walk(arm.get("then"), inner)
-                after.append(inner)
+                if not leaves(arm.get("then")):
+                    after.append(inner)
             rest = dict(scope)
+            if (name := is_null(n.get("cond"))) is not None and name in rest:
+                rest[name] = rest[name] - {"null"} or {"mixed"}
             self.walk(n.get("else"), rest)
             for name in {k for s in (*after, rest) for k in s}:
                 scope[name] = set().union(*(s.get(name, {"null"}) for s in (*after, rest)))

@@ -8,26 +8,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.functions import text
-from codefacts.operators import checks, facts, flow, relational, reports, rules, types
+from codefacts.operators import checks, facts, flow, names, nulls, relational, reports, rules, types
+from codefacts.session import cut
 
 
 def default_off() -> list[str]:
     """Checks that run only if asked for."""
     on = {c.name for c in checks.structural() if c.default}
-    return sorted({c.name for c in checks.structural()} - on | {"classMembersOrder", "parentNotFound", "redundantCast", "argsReverse"})
+    return sorted({c.name for c in checks.structural()} - on | {"classMembersOrder", "parentNotFound", "redundantCast", "argsReverse", "voidResultUsed", "arrayAccess"})
 
 
 def all_findings(files: DataFrame, nodes: DataFrame | None = None, known_functions: list[str] = (), rules_: list[rules.Rule] = (), typos: dict[str, str] | None = None, typed: bool = False) -> DataFrame:
     """Findings of every check, and of rules and a dictionary where given. Pass stored ``nodes`` so that files are parsed once for all of them."""
     n = facts.nodes(files) if nodes is None else nodes
     symbols = relational.Symbols(n)
-    parts = [checks.run(n), relational.undefined(n, symbols, known_functions), relational.members(n, symbols), relational.siblings(n, symbols), relational.arguments(n), relational.docs(n, symbols), flow.findings(files)]
+    parts = [checks.run(n), relational.undefined(n, symbols, known_functions), relational.members(n, symbols), relational.siblings(n, symbols), relational.arguments(n), relational.docs(n, symbols), names.findings(n, symbols), flow.findings(files)]
     if rules_:
         parts.append(rules.apply(files, list(rules_)))
     if typos:
         parts.append(checks.misspelt(n, typos))
     if typed:
-        parts.append(types.redundant_casts(n, types.expressions(files)))
+        typed_ = cut(types.expressions(files))
+        parts += [types.redundant_casts(n, typed_), nulls.findings(n, typed_, symbols)]
     return facts.with_context(reduce(DataFrame.unionByName, [p.select(checks.FINDINGS) for p in parts]), files)
 
 
@@ -66,6 +68,11 @@ def as_json(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct(*found.columns)).alias("value"))
 
 
+def read_json(lines: DataFrame, schema: str) -> DataFrame:
+    """Findings of JSON lines, with the line itself as ``value``."""
+    return lines.select("value", F.from_json("value", schema).alias("_r")).select("value", "_r.*")
+
+
 def baseline_items(baseline: DataFrame) -> DataFrame:
     """K3, O2: (file, items): base-36 hashes with ``*n`` where n > 1, sorted."""
     item: Column = F.concat(text.base36(F.col("hash")), F.when(F.col("cnt") > 1, F.concat(F.lit("*"), F.col("cnt").cast("string"))).otherwise(""))
@@ -91,14 +98,3 @@ def duplicates(nodes: DataFrame, least: int = 20) -> DataFrame:
     return g.where(F.size("places") > 1).select("hash", "places", (F.col("size") * (F.size("places") - 1)).alias("score")).orderBy(F.desc("score"), "hash")
 
 
-def sample_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report on the sample files: parse, facts, checks, gate. (The driver's tables hold no PHP.)"""
-    from codefacts.plans.sample import FILES
-    from codefacts.session import cut
-    from codefacts.sources.files import buffers
-
-    files = buffers(spark, FILES)
-    return report(files, cut(facts.nodes(files)), known_functions=["sleep", "is_integer", "count", "substr", "a"])
-
-
-QUERIES = {"lint_report": sample_report}

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codefacts.functions import sets, text
-from codefacts.operators import hierarchy, reports, symbols
+from codefacts.operators import checks, facts, fold, hierarchy, relational, reports, symbols
+from codefacts.plans import lint
+from codefacts.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,20 +46,6 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.lines(d, "text", "doc_id").select("doc_id", "line_no", F.md5("text").alias("line_md5"), "byte_pos")
 
 
-@query("""
-SELECT doc_id, coalesce(len(list_filter(h, lambda x: contains(x, 'licen'))) > 0, false) AS has_licence, coalesce(len(list_filter(h, lambda x: contains(x, 'rights'))) > 0, false) AS has_rights
-FROM (SELECT doc_id, list_slice(string_split(lower(text), chr(10)), 1, 15) AS h FROM documents)""")
-def header_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """two phrases, perhaps on different ones of the first 15 lines."""
-    head = F.slice(F.split(F.lower("text"), "\n", -1), 1, 15)
-    d = read(spark, sf_dir, "documents")
-
-    def has(phrase: str) -> Column:
-        return F.exists(head, lambda x: F.contains(x, F.lit(phrase)))
-
-    return d.select("doc_id", has("licen").alias("has_licence"), has("rights").alias("has_rights"))
-
-
 @query("""
 SELECT page_id, url, regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]\\.([A-Za-z0-9]+)$', 1) AS ext FROM pages
 WHERE NOT regexp_matches(url, '^https?://blog\\.') AND regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]\\.([A-Za-z0-9]+)$', 1) IN ('html', 'php')""")
@@ -104,28 +92,6 @@ def type_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.array_join("t", "|").alias("types"), F.array_join(sets.intersect(F.col("t"), F.col("h")), "|").alias("high_types"), F.array_join(sets.erase(F.col("t"), F.col("h")), "|").alias("low_only"), sets.may_be_null(F.col("t")).alias("may_be_null"))
 
 
-@query("""
-SELECT l_orderkey, count(*) AS n_branches, count(*) FILTER (WHERE l_returnflag = 'N') = count(*) AS always, bool_or(l_returnflag = 'N') AS sometimes,
-  bit_or(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END)::INT AS flags FROM lineitem GROUP BY l_orderkey""")
-def all_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds in all branches, in some, and the union of their flags."""
-    n = F.col("l_returnflag") == "N"
-    flag = F.when(F.col("l_returnflag") == "A", 1).when(n, 2).otherwise(4)
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_branches"), (F.count_if(n) == F.count("*")).alias("always"), F.bool_or(n).alias("sometimes"), F.bit_or(flag).alias("flags"))
-
-
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def anti_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that nothing declares."""
-    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
-
-
-@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
-def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that something declares."""
-    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi")
-
-
 @query("""
 SELECT p.p_partkey AS use_key, q.p_partkey AS declared_key FROM part p JOIN (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name) q ON lower(p.p_type || ' ' || p.p_name) = lower(p.p_type) || ' ' || q.p_name WHERE p.p_type <> lower(p.p_type)""")
 def ci_name_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,17 +101,6 @@ def ci_name_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.lookup(p.withColumn("use", F.col("p_name")), declared, "use", "symbol").where(F.col("p_type") != F.lower("p_type")).select(F.col("p_partkey").alias("use_key"), "declared_key")
 
 
-@query("""
-WITH a AS (SELECT l_orderkey, count(*) AS n_args, max(l_linenumber) AS n_params FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey, coalesce(n_args, 0) AS n_args, coalesce(n_params, 0)::BIGINT AS n_params FROM orders LEFT JOIN a ON o_orderkey = l_orderkey WHERE coalesce(n_args, 0) < coalesce(n_params, 1)""")
-def arity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with fewer arguments than parameters."""
-    a = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_args"), F.max("l_linenumber").alias("n_params"))
-    o = read(spark, sf_dir, "orders").select("o_orderkey").join(a, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    n_args, n_params = F.coalesce("n_args", F.lit(0)), F.coalesce("n_params", F.lit(1))
-    return o.where(n_args < n_params).select("o_orderkey", n_args.cast("long").alias("n_args"), F.coalesce("n_params", F.lit(0)).cast("long").alias("n_params"))
-
-
 CLOSURE_EDGES = """SELECT DISTINCT child, parent FROM (
   SELECT 'nation:' || n_nationkey AS child, 'region:' || n_regionkey AS parent FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
@@ -167,14 +122,6 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.closure(edges)
 
 
-@query("""
-SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
-def rank_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first candidate by a composite rank, as an aggregation that needs no sort."""
-    best = F.min_by(F.struct("l_partkey", "l_linenumber"), F.struct((F.col("l_returnflag") != "N").cast("int"), "l_linenumber", "l_partkey", "l_suppkey"))
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.l_partkey", "b.l_linenumber")
-
-
 @query("""
 WITH h AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate)::BIGINT // 86400 AS a, epoch(o_orderdate)::BIGINT // 86400 + 30 AS b FROM orders)
 SELECT x.o_orderkey AS old_key, y.o_orderkey AS new_key FROM h x JOIN h y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a <= y.b AND x.b >= y.a""")
@@ -244,152 +191,171 @@ def baseline_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.severity_stats(baseline_suppress(spark, sf_dir).withColumn("level", F.when(head == "0", 1).when(head == "1", 2).otherwise(3)))
 
 
-@query("""
-SELECT user_id, count(*) AS n_all, count(*) FILTER (WHERE event_type = 'error') AS n_critical, count(*) FILTER (WHERE event_type <> 'error') AS n_minor FROM events GROUP BY user_id""")
-def severity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional counts in one pass."""
-    e = F.col("event_type") == "error"
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_all"), F.count_if(e).alias("n_critical"), F.count_if(~e).alias("n_minor"))
+@query(r"""
+SELECT doc_id, len(regexp_extract_all(text, '%(?:\d+\$)?[-+ 0]*(?:''.)?\d*(?:\.\d+)?[bcdeEfFgGosuxX%]'))::INT AS n_directives,
+  array_to_string(regexp_extract_all(text, '%(?:\d+\$)?[-+ 0]*(?:''.)?\d*(?:\.\d+)?[bcdeEfFgGosuxX%]'), ' ') AS directives FROM documents""")
+def printf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10: printf directives."""
+    d = text.directives(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(d).alias("n_directives"), F.array_join(d, " ").alias("directives"))
 
 
 @query("""
-SELECT md5(regexp_replace(lower(text), '[0-9]+', '0', 'g')) AS body, count(*) AS n_copies, min(doc_id) AS first_doc, (max(n_chars) * (count(*) - 1))::BIGINT AS score
-FROM documents GROUP BY 1 HAVING count(*) > 1""")
-def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal normal forms, ranked by what they waste."""
-    body = F.md5(F.regexp_replace(F.lower("text"), "[0-9]+", "0"))
-    g = read(spark, sf_dir, "documents").groupBy(body.alias("body")).agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("first_doc"), F.max("n_chars").alias("n"))
-    return g.where("n_copies > 1").select("body", "n_copies", "first_doc", (F.col("n") * (F.col("n_copies") - 1)).alias("score"))
+SELECT n_nationkey, replace(replace('$n belongs to $r ($n)', '$n', n_name), '$r', r_name) AS message FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def template_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q9: captures in a message."""
+    j = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("n_nationkey", text.template(F.lit("$n belongs to $r ($n)"), {"n": F.col("n_name"), "r": F.col("r_name")}).alias("message"))
 
 
 @query("""
-SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations) WHERE n > 1""")
-def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that have come before in their list."""
-    w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
-    return read(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).where("n > 1").select("conv_id", "turn", "role")
+SELECT doc_id, repeat(' ', instr(line, ' ')::INT) || repeat('^', greatest(1, length(line) - instr(line, ' ')::INT)::INT) AS caret FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) WHERE line NOT LIKE '%' || chr(9) || '%'""")
+def caret_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the line under a finding's context."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("line")).where(~F.contains("line", F.lit("\t")))
+    return d.select("doc_id", text.caret(F.col("line"), F.instr("line", " "), F.length("line")).alias("caret"))
 
 
 @query("""
-SELECT event_id, user_id FROM (SELECT event_id, user_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dead FROM events) WHERE dead = 1""")
-def running_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What follows an exit in its block - a join to the first exit, not a window over the block."""
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    first = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("u")).agg(F.min(F.struct("ts", "event_id")).alias("at"))
-    return e.join(first, (F.col("user_id") == F.col("u")) & (F.struct("ts", "event_id") > F.col("at"))).select("event_id", "user_id")
+SELECT s_suppkey, coalesce(a.n_name, b.n_name) AS found FROM (SELECT s_suppkey, 'NS_NATION_' || s_nationkey AS full_name, 'NATION_' || s_nationkey AS root_name FROM supplier)
+LEFT JOIN nation a ON lower(full_name) = lower(a.n_name) LEFT JOIN nation b ON lower(root_name) = lower(b.n_name)""")
+def namespace_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name in its namespace, else in the root."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("NS_NATION_"), F.col("s_nationkey").cast("string")).alias("full"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("root"))
+    n = read(spark, sf_dir, "nation").select("n_name", F.col("n_name").alias("found"))
+    return symbols.with_fallback(s, n, "full", "root", "n_name", "found").select("s_suppkey", "found")
 
 
 @query("""
-SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = 'assistant' AND d.turn < c.turn)""")
-def member_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of a kind that come after the first of another kind."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    first = c.where("role = 'assistant'").groupBy(F.col("conv_id").alias("id")).agg(F.min("turn").alias("at"))
-    return c.where("role = 'user'").join(first, (F.col("conv_id") == F.col("id")) & (F.col("turn") > F.col("at"))).select("conv_id", "turn")
+SELECT p_partkey, p_size % 3 = 0 AND p_size % 5 = 0 AS generated FROM part""")
+def header_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files whose first comment lines say that they are generated and not to be edited."""
+    p = read(spark, sf_dir, "part")
+    head = F.concat(F.lit("<?php\n// "), F.when(F.col("p_size") % 3 == 0, F.lit("Auto-generated from ")).otherwise(F.lit("Made from ")), "p_name", F.lit("\n# "), F.when(F.col("p_size") % 5 == 0, F.lit("DO NOT EDIT")).otherwise(F.lit("edit")), F.lit("\necho 'do not modify';\n"))
+    return p.select("p_partkey", text.auto_generated(head).alias("generated"))
 
 
-@query("""
-SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt FROM conversations) WHERE nxt = role""")
-def lead_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case that runs into the next one."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return read(spark, sf_dir, "conversations").withColumn("nxt", F.lead("role").over(w)).where("nxt = role").select("conv_id", "turn", "role")
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def anti_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that nothing declares."""
+    uses = read(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")).alias("used"))
+    known = read(spark, sf_dir, "labels").select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("declared"))
+    return symbols.undefined(uses, known, "used", "declared").select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that something declares."""
+    uses = read(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")).alias("used"))
+    known = read(spark, sf_dir, "labels").where("quality = 0").select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("declared"))
+    return symbols.lookup(uses, known, "used", "declared", "left_semi").select("doc_id", "source")
 
 
 @query("""
-SELECT user_id, min((ts, event_id)) FILTER (WHERE event_type = 'purchase') < min((ts, event_id)) FILTER (WHERE event_type = 'view') AS clobbered FROM events GROUP BY user_id""".replace("min((ts, event_id))", "min(row(ts, event_id))"))
-def overwrite_before_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written before anything read it."""
-    at = F.struct("ts", "event_id")
-    first = [F.min(F.when(F.col("event_type") == k, at)) for k in ("purchase", "view")]
-    return read(spark, sf_dir, "events").groupBy("user_id").agg((first[0] < first[1]).alias("clobbered"))
+SELECT p_partkey, 'Too few arguments for f' || p_partkey || ', expecting ' || p_size % 7 || ', saw ' || p_partkey % 7 AS message FROM part WHERE p_partkey % 7 < p_size % 7""")
+def arity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with fewer arguments than their function has parameters, in a file for each part."""
+    key = F.col("p_partkey").cast("string")
+
+    def listed(n: Column, item: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(F.slice(F.sequence(F.lit(1), F.lit(7)), F.lit(1), n.cast("int")), item), ", ")
+
+    given, taken = listed(F.col("p_partkey") % 7, lambda i: i.cast("string")), listed(F.col("p_size") % 7, lambda i: F.concat(F.lit("$p"), i.cast("string")))
+    code = F.concat(F.lit("<?php function f"), key, F.lit("("), taken, F.lit(") {} f"), key, F.lit("("), given, F.lit(");"))
+    nodes = cut(facts.nodes(read(spark, sf_dir, "part").select(key.alias("path"), code.alias("content"))))
+    found = relational.undefined(nodes, relational.Symbols(nodes)).where("check_name = 'argCount'")
+    return found.select(F.col("filename").cast("long").alias("p_partkey"), "message")
 
 
 @query("""
-SELECT DISTINCT b.l_orderkey, b.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity >= b.l_quantity AND a.l_shipdate <= b.l_shipdate""")
-def catch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A clause that an earlier one of its list covers."""
-    x = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
-    a = x.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("s"))
-    on = (F.col("l_orderkey") == F.col("k")) & (F.col("n") < F.col("l_linenumber")) & (F.col("q") >= F.col("l_quantity")) & (F.col("s") <= F.col("l_shipdate"))
-    return x.join(a, on, "left_semi").select("l_orderkey", "l_linenumber").distinct()
+SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_custkey % 2 = 1 THEN 'customer' WHEN c_nationkey % 3 = 0 THEN 'nation' ELSE 'region' END AS found_in,
+  CASE WHEN c_acctbal < 0 AND c_custkey % 2 = 1 THEN 0 WHEN c_nationkey % 3 = 0 THEN 1 ELSE 2 END AS depth FROM customer""")
+def rank_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member that a class means: concrete before abstract, then by kind of edge and depth."""
+    c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    up = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    named = {"customer": F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "nation": F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "region": F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))}
+    own = F.array(*[F.struct(v.alias("ancestor"), F.lit(k).alias("depth"), F.lit("own" if not k else "extends").alias("kind")) for k, v in enumerate(named.values())])
+    ancestors = up.select(named["customer"].alias("child"), F.explode(own).alias("a")).select("child", "a.*")
+    members = (
+        up.where("c_acctbal < 0").select(named["customer"].alias("cls"), F.lit("customer").alias("found_in"), (F.col("c_custkey") % 2 == 0).alias("is_abstract"))
+        .unionByName(n.where("n_nationkey % 3 = 0").select(named["nation"].alias("cls"), F.lit("nation").alias("found_in"), F.lit(False).alias("is_abstract")))
+        .unionByName(r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("cls"), F.lit("region").alias("found_in"), F.lit(False).alias("is_abstract")))
+        .withColumn("member", F.lit("RUN"))
+    )
+    wanted = c.select("c_custkey", named["customer"].alias("cls"), F.lit("run").alias("name"))
+    return hierarchy.resolve(wanted, members, ancestors, ["own", "trait", "extends"]).select("c_custkey", "found_in", "depth")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey * 7 + l_suppkey) AS added, (l_partkey & 255) | (l_suppkey & 15) AS bits,
-  CASE WHEN l_linenumber = 0 THEN NULL ELSE l_partkey % l_linenumber END AS remainder, (l_linenumber > 3 AND l_suppkey > 50) AS both_true FROM lineitem""")
-def const_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.10: arithmetic, bit and boolean folding."""
-    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (p * 7 + s).alias("added"), p.bitwiseAND(F.lit(255)).bitwiseOR(s.bitwiseAND(F.lit(15))).alias("bits"), F.try_mod(p, n.cast("long")).alias("remainder"), ((n > 3) & (s > 50)).alias("both_true"))
+SELECT user_id, count(*) AS n_all, count(*) FILTER (WHERE event_type <> 'view') AS n_critical, count(*) FILTER (WHERE event_type = 'view') AS n_minor FROM events GROUP BY user_id""")
+def severity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by severity, in one pass."""
+    e = F.col("event_type")
+    return reports.severity_stats(read(spark, sf_dir, "events").withColumn("level", F.when(e == "view", 3).when(e == "error", 1).otherwise(2)), by=["user_id"])
 
 
-@query(r"""
-SELECT doc_id, len(regexp_extract_all(text, '%(?:\d+\$)?[-+ 0]*(?:''.)?\d*(?:\.\d+)?[bcdeEfFgGosuxX%]'))::INT AS n_directives,
-  array_to_string(regexp_extract_all(text, '%(?:\d+\$)?[-+ 0]*(?:''.)?\d*(?:\.\d+)?[bcdeEfFgGosuxX%]'), ' ') AS directives FROM documents""")
-def printf_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.10: printf directives."""
-    d = text.directives(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(d).alias("n_directives"), F.array_join(d, " ").alias("directives"))
+DUP_BODY = ("{ $a = ", "; $b = '", "'; echo $a, $b; return $a; }")
 
 
-TYPOS = {"onhe": "one", "thnt": "that", "ereson": "reason", "edtion": "edition", "inon": "union", "erti": "verti"}
+@query(f"""
+WITH b AS (SELECT p_partkey, '{DUP_BODY[0]}' || p_size || '{DUP_BODY[1].replace("'", "''")}' || p_brand || '{DUP_BODY[2].replace("'", "''")}' AS body FROM part)
+SELECT count(*)::INT AS n, min(p_partkey::VARCHAR) AS first, (length(body) * (count(*) - 1))::INT AS score FROM b GROUP BY body HAVING count(*) > 1""")
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with one body in a file for each part, by what they waste."""
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit("<?php function f"), key, F.lit("() "), F.lit(DUP_BODY[0]), F.col("p_size").cast("string"), F.lit(DUP_BODY[1]), "p_brand", F.lit(DUP_BODY[2]))
+    nodes = facts.nodes(read(spark, sf_dir, "part").select(key.alias("path"), code.alias("content")))
+    return lint.duplicates(nodes, least=5).select(F.size("places").alias("n"), F.col("places")[0]["path"].alias("first"), F.col("score").cast("int").alias("score"))
 
 
 @query("""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), t(typo, fixed) AS (VALUES %s)
-SELECT doc_id, typo, fixed, count(*) AS n FROM w JOIN t ON word = typo GROUP BY doc_id, typo, fixed""" % ", ".join(f"('{a}', '{b}')" for a, b in TYPOS.items()))
-def typo_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words against a dictionary that is a constant of the query."""
-    typos = spark.createDataFrame(list(TYPOS.items()), "typo string, fixed string")
-    w = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("typo"))
-    return w.join(F.broadcast(typos), "typo").groupBy("doc_id", "typo", "fixed").agg(F.count("*").alias("n"))
+SELECT p_partkey, ((p_partkey * 7 + p_size) - 3)::VARCHAR AS added, ((p_partkey & 255) | (p_size & 15))::VARCHAR AS bits, (-p_partkey)::VARCHAR AS negated,
+  CASE WHEN p_size > 3 AND NOT (p_partkey >= 50) THEN '1' ELSE '' END AS both_true, p_brand || p_size AS joined, p_partkey::VARCHAR AS casted FROM part""")
+def const_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10: constants of PHP files, one for each part, folded by the engine."""
+    p, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    exprs = {"added": ["(", p, " * 7 + ", s, ") - 3"], "bits": ["(", p, " & 0xFF) | (", s, " & 15)"], "negated": ["-", p], "both_true": [s, " > 3 && !(", p, " >= 50)"], "joined": ["'", F.col("p_brand"), "' . ", s], "casted": ["(int)", p, ".75"]}
+    code = F.concat(F.lit("<?php class K {"), *[F.concat(F.lit(f" const {k} = "), *[F.lit(x) if isinstance(x, str) else x for x in e], F.lit(";")) for k, e in exprs.items()], F.lit(" }"))
+    found = fold.constants(read(spark, sf_dir, "part").select(p.alias("path"), code.alias("content")))
+    return found.groupBy(F.col("path").cast("long").alias("p_partkey")).agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in exprs])
 
 
-@query("""
-SELECT n_nationkey, replace(replace('$n belongs to $r ($n)', '$n', n_name), '$r', r_name) AS message FROM nation JOIN region ON n_regionkey = r_regionkey""")
-def template_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q9: captures in a message."""
-    j = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select("n_nationkey", text.template(F.lit("$n belongs to $r ($n)"), {"n": F.col("n_name"), "r": F.col("r_name")}).alias("message"))
+TYPOS = {"onhe": "one", "thnt": "that", "ereson": "reason", "edtion": "edition", "inon": "union", "erti": "verti"}
 
 
 @query("""
-SELECT doc_id, repeat(' ', instr(line, ' ')::INT) || repeat('^', greatest(1, length(line) - instr(line, ' ')::INT)::INT) AS caret FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) WHERE line NOT LIKE '%' || chr(9) || '%'""")
-def caret_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: the line under a finding's context."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("line")).where(~F.contains("line", F.lit("\t")))
-    return d.select("doc_id", text.caret(F.col("line"), F.instr("line", " "), F.length("line")).alias("caret"))
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[a-z]+\\b')) AS word FROM documents), t(typo, fixed) AS (VALUES %s)
+SELECT doc_id, '"' || word || '" is a misspelling of "' || fixed || '"' AS message FROM w JOIN t ON word = typo""" % ", ".join(f"('{a}', '{b}')" for a, b in TYPOS.items()))
+def typo_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of comments against a dictionary; each document is the comment of a file."""
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit(""))
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("<?php\n/* "), body, F.lit(" */")).alias("content"))
+    return checks.misspelt(facts.nodes(files), TYPOS).select(F.col("filename").cast("long").alias("doc_id"), "message")
 
 
-@query("""SELECT event_id, (props->>'k')::BIGINT AS k, '{"event_id":' || event_id || ',"k":' || (props->>'k') || '}' AS encoded FROM events""")
+@query("""
+SELECT event_id, event_type AS check_name, user_id::INT AS line, '{"check_name":"' || event_type || '","line":' || user_id || ',"event_id":' || event_id || '}' AS value FROM events""")
 def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: JSON read and written."""
-    k = F.from_json("props", "k long")["k"]
-    return read(spark, sf_dir, "events").select("event_id", k.alias("k"), F.to_json(F.struct("event_id", k.alias("k"))).alias("encoded"))
+    """Findings written as JSON and read back."""
+    found = read(spark, sf_dir, "events").select(F.col("event_type").alias("check_name"), F.col("user_id").cast("int").alias("line"), "event_id")
+    return lint.read_json(lint.as_json(found), "check_name string, line int, event_id long").select("event_id", "check_name", "line", "value")
 
 
 @query("""
-SELECT user_id, event_type, count(*) AS n, rank() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY user_id, event_type""")
+SELECT user_id, event_type AS check_name, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY user_id, event_type""")
 def checker_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks with ties broken, after the aggregation."""
-    g = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return g.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")).cast("long"))
+    """Checks by their number of findings."""
+    return reports.ranking(read(spark, sf_dir, "events").withColumnRenamed("event_type", "check_name"), by=["user_id"])
 
 
-@query("""
-SELECT s_suppkey, coalesce(a.n_name, b.n_name) AS found FROM (SELECT s_suppkey, 'NS_NATION_' || s_nationkey AS full_name, 'NATION_' || s_nationkey AS root_name FROM supplier)
-LEFT JOIN nation a ON lower(full_name) = lower(a.n_name) LEFT JOIN nation b ON lower(root_name) = lower(b.n_name)""")
-def namespace_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name in its namespace, else in the root."""
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("NS_NATION_"), F.col("s_nationkey").cast("string")).alias("full"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("root"))
-    n = read(spark, sf_dir, "nation").select("n_name", F.col("n_name").alias("found"))
-    return symbols.with_fallback(s, n, "full", "root", "n_name", "found").select("s_suppkey", "found")
+POWERS = [36**k for k in range(11)]
 
 
-@query("""
-SELECT c_custkey, upper(hex(c_custkey * 2654435761)) AS as_hex, c_custkey * 2654435761 AS back FROM customer""")
+@query(f"""
+SELECT c_custkey, coalesce(nullif(ltrim(array_to_string(list_transform({POWERS[::-1]}, lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((c_custkey * 2654435761) // p % 36)::INT + 1, 1)), ''), '0'), ''), '0') AS item, c_custkey * 2654435761 AS back FROM customer""")
 def base36_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers to base 36 and back."""
-    n = F.col("c_custkey") * F.lit(2654435761)
-    return read(spark, sf_dir, "customer").select("c_custkey", F.hex(n).alias("as_hex"), text.from_base36(text.base36(n)).cast("long").alias("back"))
+    """A baseline written in base 36 and read back."""
+    known = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file"), (F.col("c_custkey") * F.lit(2654435761)).cast("decimal(20,0)").alias("hash"), F.lit(1).cast("long").alias("cnt"))
+    items = lint.baseline_items(known)
+    return items.join(lint.read_baseline(items), "file").select(F.col("file").cast("long").alias("c_custkey"), F.col("items")[0].alias("item"), F.col("hash").cast("long").alias("back"))

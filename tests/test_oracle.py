@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from codefacts.plans.oracle import ORACLE_SQL, QUERIES
+from codefacts.plans import cases, oracle
+
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | cases.ORACLE_SQL, oracle.QUERIES | cases.QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
