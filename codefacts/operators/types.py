@@ -209,7 +209,7 @@ class Typer:
         if k == "Unary":
             inner = of("expr")
             return {"bool"} if n.attrs["op"] == "!" else {"int"} if n.attrs["op"] == "~" else inner if inner <= {"int", "float"} else {"int", "float"}
-        if k == "Const":
+        if k == "Const" and "name" in n.attrs:
             low = n.attrs["name"].lower()
             return {"bool"} if low in ("true", "false") else {"null"} if low == "null" else {"mixed"}
         if k == "Index":

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.operators import checks, facts, flow, names, nulls, relational, types
+from codefacts.operators import checks, facts, flow, names, nulls, relational, rules, types
 from codefacts.plans import lint
+from codefacts.plans.rulefile import EMBEDDED
 from codefacts.session import cut
 
 #: (check, code with the fault, code without it[, line of the finding]); KEY is the row's key, the code begins on line 2
@@ -164,6 +165,15 @@ TYPO: list[Case] = [
     ("misspellComment", "// how to recieve it", "// how to receive it"),
 ]
 
+#: What the rules that come with the engine report, and what they leave alone
+RULES = "ternarySimplify precedence assignOp offBy1 argsOrder callSimplify strictCmp indexingSyntax intNeedle langDeprecated strangeCast emptyStringCheck returnAssign countUse unaryRepeat forLoop selfAssign errorSilence concatenationPrecedence useExitOrDie useEval useSleep".split()
+RULE: list[Case] = [c for c in NODE if c[0] in RULES and c[0] != "strangeCast"] + [
+    ("strangeCast", "$a = 0 + $b;", "$a = 1 + $b;"),
+    ("bitwiseOps", "function f(bool $a, bool $b) { return $a & $b; }", "function f(int $a, int $b) { return $a & $b; }"),
+    ("alwaysNull", "if ($a === null && $a->name) { echo 1; }", "if ($a !== null && $a->name) { echo 1; }"),
+    ("alwaysNull", "if ($a == null && $a->run(1, 2)) { echo 1; }", "if ($a == null && $b->run(1, 2)) { echo 1; }"),
+]
+
 Plan = Callable[[DataFrame, DataFrame], DataFrame]
 FAMILIES: dict[str, tuple[list[Case], Plan]] = {
     "checks_of_nodes": (NODE, lambda files, nodes: checks.run(nodes)),
@@ -176,6 +186,7 @@ FAMILIES: dict[str, tuple[list[Case], Plan]] = {
     "checks_of_types": (TYPE, lambda files, nodes: types.redundant_casts(nodes, types.expressions(files))),
     "checks_of_nulls": (NULL, lambda files, nodes: nulls.findings(nodes, cut(types.expressions(files)), relational.Symbols(nodes))),
     "checks_of_names": (NAME, lambda files, nodes: names.findings(nodes, relational.Symbols(nodes))),
+    "rule_groups": (RULE, lambda files, nodes: rules.apply(files, rules.parse_rules(EMBEDDED))),
     "checks_of_words": (TYPO, lambda files, nodes: checks.misspelt(nodes, TYPOS)),
 }
 
@@ -214,7 +225,7 @@ def whole_report(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return lint.report(files, nodes, disabled=[], typos=TYPOS, typed=True)
 
 
-FAMILIES["lint_report"] = ([case for cases, _ in FAMILIES.values() for case in cases], whole_report)
+FAMILIES["lint_report"] = ([case for name, (cases, _) in FAMILIES.items() if name != "rule_groups" for case in cases], whole_report)
 
 
 def _query(cases: list[Case], plan: Plan) -> Callable[[SparkSession, str], DataFrame]:

@@ -236,7 +236,7 @@ class Parser:
             return self.done(Node("Nop", t.start))
         if t.kind == "name" and after.text == ":" and self.ahead(2).text != ":" and word not in ("default", "parent", "self", "static"):
             self.i += 2
-            return self.done(Node("Label", t.start, attrs={"name": t.text}))
+            return self.done(Node("Label", t.start, attrs={"name": t.text}, doc=doc))
         n = Node("Expr", t.start, doc=doc)
         n.parts.append(("expr", self.expr()))
         self.finish()
