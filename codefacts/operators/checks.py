@@ -166,6 +166,7 @@ def structural() -> list[Check]:
         Check("printf", WARNING, formats & (args - 1 > wanted), text_of("Format string has %d directives, %d arguments aren't used", wanted, args - 1 - wanted)),
         Check("regexpVet", WARNING, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & c("arg.value").rlike(r"\[[^\]]*([a-zA-Z0-9_])[^\]\-]*\1[^\]]*\]"), "A character occurs twice in a class of the regular expression"),
         Check("regexpVet", WARNING, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & c("arg.value").rlike(r"[+*][+*]|\((?:[^()\\]|\\.)*[+*]\)[+*]"), "A quantifier inside a repeated group of the regular expression"),
+        Check("regexpSyntax", ERROR, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & broken_pattern(c("arg.value")), "The regular expression has no delimiter, an unclosed part or a quantifier with nothing before it"),
         Check("regexpSimplify", NOTICE, call("preg_match", "preg_match_all", "preg_replace", "preg_split") & (c("arg.inner") == "String") & c("arg.value").rlike(r"\[0-9\]|\[a-zA-Z0-9_\]|\[A-Za-z0-9_\]|\{1\}|\{0,1\}|\{1,\}|\{0,\}"), text_of("May re-write %s with shorter classes and quantifiers", c("arg.text"))),
         Check("typeHint", NOTICE, kind("Param") & (F.lower(c("type.text")) == "array"), text_of("Specify the type for the parameter $%s in PHPDoc, 'array' type hint too generic", a("name")), default=False),
         Check("trailingComma", NOTICE, kind("Array") & (F.col("start_line") < F.col("end_line")) & F.col("text").rlike(r"[^,\s]\s*\n\s*[\])]$"), "Last element in a multi-line array should have a trailing comma", default=False),
@@ -184,6 +185,17 @@ def misspelt(nodes: DataFrame, typos: dict[str, str]) -> DataFrame:
     return located(hit.withColumns({"level": F.lit(NOTICE), "message": text_of('"%s" is a misspelling of "%s"', F.col("word"), fixed)}))
 
 
+def broken_pattern(value: Column) -> Column:
+    """A pattern without delimiters, with brackets that don't match, or with a quantifier at the start of a part."""
+    opened = F.substring(value, 1, 1)
+    closed = F.translate(opened, "([{<", ")]}>")
+    last = F.length(F.call_function("substring_index", value, closed, F.lit(-1)))
+    inner = F.substring(value, F.lit(2), F.length(value) - last - 2)
+    plain = F.regexp_replace(F.regexp_replace(inner, r"\\.", "x"), r"\[\^?\]?[^\]]*\]", "x")
+    count = lambda ch: F.length(plain) - F.length(F.replace(plain, F.lit(ch), F.lit("")))
+    return ~value.rlike(r"^[^\w\s\\]") | (F.length(value) < 2) | (last >= F.length(value) - 1) | (count("(") != count(")")) | F.contains(plain, F.lit("[")) | plain.rlike(r"^[*+?]|[(|][*+]|\(\?[^:=!<>a-zA-Z#|&'(RP\d+-]")
+
+
 def pure_sides() -> Column:
     return ~F.col("text").rlike(r"\(|\+\+|--")
 

@@ -77,6 +77,9 @@ NODE: list[Case] = [
     ("invalidDocblockType", "/** @return boolean */\nfunction f() {}", "/** @return bool */\nfunction f() {}", 3),
     ("printf", "$x = sprintf('%s %s', $a);", "$x = sprintf('%s %s', $a, $b);"),
     ("regexpVet", "preg_match('/[aba]/', $s);", "preg_match('/[abc]/', $s);"),
+    ("regexpSyntax", "preg_match('/(a/', $s);", "preg_match('/(a)[(]\\(/', $s);"),
+    ("regexpSyntax", "preg_match('abc', $s);", "preg_match('~abc~i', $s);"),
+    ("regexpSyntax", "preg_match('/+a/', $s);", "preg_match('/a+/', $s);"),
     ("regexpSimplify", "preg_match('/[0-9]x/', $s);", "preg_match('/\\dx/', $s);"),
     ("typeHint", "function f(array $a) {}", "function f(Foo $a) {}"),
     ("trailingComma", "$x = [\n1,\n2\n];", "$x = [\n1,\n2,\n];"),

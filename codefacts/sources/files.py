@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,6 +82,97 @@ def git_tree(spark: SparkSession, repository: str, commit: str = "HEAD", suffixe
     return spark.read.format("gittree").option("repository", repository).option("commit", commit).option("suffixes", suffixes).load()
 
 
+def ignored(rules: str, path: Column) -> Column:
+    """Does an ignore file (one pattern a line, the last that fits decides, ``!`` takes back) leave a path out?
+
+    Paths are relative to the folder of the ignore file. A pattern without a slash inside fits at any
+    depth, one with a slash from the folder on; ``*`` and ``?`` stay within a segment, ``**`` crosses
+    segments; what lies below a folder that fits is left out too.
+    """
+    out: Column = F.lit(False)
+    for line in rules.splitlines():
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        back = line.startswith("!")
+        body = line.lstrip("!").removeprefix("\\")
+        rooted, folder = "/" in body.rstrip("/"), body.endswith("/")
+        body = body.strip("/")
+        pattern, i = "", 0
+        while i < len(body):
+            if body.startswith("**/", i):
+                pattern, i = pattern + "(?:.*/)?", i + 3
+            elif body.startswith("**", i):
+                pattern, i = pattern + ".*", i + 2
+            elif body[i] == "[" and (end := body.find("]", i + 2)) > 0:
+                pattern, i = pattern + "[" + body[i + 1 : end].replace("!", "^", 1 if body[i + 1] == "!" else 0).replace("\\", "\\\\") + "]", end + 1
+            else:
+                pattern, i = pattern + {"*": "[^/]*", "?": "[^/]"}.get(body[i], re.escape(body[i])), i + 1
+        hit = path.rlike(f"^{'' if rooted else '(?:.*/)?'}{pattern}{'/' if folder else '(?:/|$)'}")
+        out = F.when(hit, F.lit(not back)).otherwise(out)
+    return out
+
+
+def _git(repository: str, *args: str) -> str:
+    return subprocess.run(["git", "-C", repository, *args], capture_output=True, check=True, text=True).stdout
+
+
+def merge_base(repository: str, one: str, two: str) -> str:
+    """The commit that two lines of work have in common."""
+    return _git(repository, "merge-base", one, two).strip()
+
+
+def untracked(spark: SparkSession, repository: str) -> DataFrame:
+    """(path) of files that aren't tracked and that no ignore file leaves out."""
+    said = _git(repository, "ls-files", "-z", "--others", "--exclude-standard").split("\0")[:-1]
+    return spark.createDataFrame([(x,) for x in said], "path string")
+
+
+def changes(spark: SparkSession, repository: str, old: str, new: str = "") -> DataFrame:
+    """(old_name, new_name, change) between two commits, or a commit and the work tree: added, deleted, modified or renamed."""
+    said = _git(repository, "diff", "--name-status", "-z", "-M", old, *([new] if new else [])).split("\0")[:-1]
+    rows, i = [], 0
+    while i < len(said):
+        kind = said[i][0]
+        two = kind in "RC"
+        a, b = said[i + 1], said[i + 2 if two else i + 1]
+        rows.append((None if kind == "A" else a, None if kind == "D" else b, {"A": "added", "D": "deleted", "R": "renamed"}.get(kind, "modified")))
+        i += 3 if two else 2
+    return spark.createDataFrame(rows, "old_name string, new_name string, change string")
+
+
+def old_versions(spark: SparkSession, repository: str, commit: str, changed: DataFrame, suffixes: str = "php") -> DataFrame:
+    """(path, content) in a commit of the files that changed since."""
+    return git_tree(spark, repository, commit, suffixes).join(changed.select(F.col("old_name").alias("path")).distinct(), "path", "left_semi")
+
+
+def new_versions(spark: SparkSession, repository: str, commit: str, changed: DataFrame, suffixes: str = "php") -> DataFrame:
+    """(path, content) in a commit of the files that changed up to it."""
+    return git_tree(spark, repository, commit, suffixes).join(changed.select(F.col("new_name").alias("path")).distinct(), "path", "left_semi")
+
+
+def work_tree(spark: SparkSession, folder: str, changed: DataFrame, extensions: list[str] = ("php", "inc", "php5", "phtml")) -> DataFrame:
+    """(path, content) of the changed files as they are in a folder; paths are relative to it."""
+    every = directory(spark, folder, extensions)
+    root = os.path.abspath(folder).rstrip("/") + "/"
+    relative = F.substring_index("path", root, -1)
+    return every.withColumn("path", relative).join(changed.select(F.col("new_name").alias("path")).distinct(), "path", "left_semi")
+
+
+def blame(spark: SparkSession, repository: str, path: str, commit: str = "HEAD") -> DataFrame:
+    """(path, line, hash, author) of the lines of one file."""
+    rows, authors, head = [], {}, None
+    for x in _git(repository, "blame", "--porcelain", commit, "--", path).splitlines():
+        m = re.match(r"^([0-9a-f]{40}) \d+ (\d+)", x)
+        if m:
+            head = (m.group(1), int(m.group(2)))
+        elif x.startswith("author "):
+            authors[head[0]] = x[7:]
+        elif x.startswith("\t"):
+            rows.append((path, head[1], head[0], authors[head[0]]))
+    return spark.createDataFrame(rows, "path string, line int, hash string, author string")
+
+
 def git_lines(spark: SparkSession, repository: str, *args: str) -> DataFrame:
     """Lines that a git command prints, as (n, line): the output of one process, on the driver."""
     said = subprocess.run(["git", "-C", repository, *args], capture_output=True, check=True, text=True).stdout
