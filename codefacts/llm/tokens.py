@@ -34,6 +34,14 @@ def _bytes_of_chars() -> dict[str, str]:
     return {chr(b): chr(b) for b in plain} | {chr(256 + i): chr(b) for i, b in enumerate(rest)}
 
 
+def _marked(words: list[str], mark: bytes) -> bytes:
+    """The bytes of words, each with the mark after it."""
+    big = "\n".join(words) + "\n"
+    if big.count("\n") == len(words):
+        return big.encode().replace(b"\n", mark)
+    return b"".join([w.encode() + mark for w in words])
+
+
 class Bpe:
     """A byte-level BPE vocabulary file, with or without a word-end suffix."""
 
@@ -157,9 +165,9 @@ class Bpe:
         """Ids of words by exact merging: in each the pair of least rank, again and again, for all words at once."""
         if not words:
             return []
-        raw = [w.encode() for w in words]
-        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        n = np.array([len(x) for x in raw], dtype=np.int64)
+        flat = np.frombuffer(_marked(words, b"\xff"), dtype=np.uint8)
+        n = np.diff(np.flatnonzero(flat == 255), prepend=-1) - 1
+        flat = flat[flat != 255]
         s = self.symbols[flat]
         if self.end:
             s[np.cumsum(n) - 1] = self.last_symbols[flat[np.cumsum(n) - 1]]
@@ -209,7 +217,7 @@ class Bpe:
         if not words:
             return []
         mark = (self.border * bool(self.end) + self.stop).encode("latin-1")
-        big = (mark.join([w.encode() for w in words]) + mark).decode("latin-1")
+        big = _marked(words, mark).decode("latin-1")
         got = np.fromiter(self.auto.iter_long(big), dtype=[("end", np.int64), ("token", np.int64)])["token"]
         stops = np.flatnonzero(got == -1)
         word = np.repeat(np.arange(len(words)), np.diff(stops, prepend=-1))
@@ -308,7 +316,8 @@ class Bpe:
         if newline:
             new.update((p, newline + ids) for p, ids in new.items() if p[:1] == "\n")
         self._remember(new, self.cache)
-        return new | dict.fromkeys(spaced)
+        new.update(dict.fromkeys(spaced))
+        return new
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts cut by the pattern, special tokens first."""
