@@ -26,6 +26,7 @@ ROWS, BANDS = 5, 40
 FIRST = 8  # bands of the first wave
 SHARD, SHINGLES = 2048, 1 << 20  # members and shingles of a piece of a bucket
 STEP = 2048  # shingles sketched at once
+SALTS = 16  # ways in which the nodes of a component are dealt
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (2, ROWS * BANDS, 1), dtype=np.uint64)
 _XOR, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -168,6 +169,22 @@ def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with the components that the new edges (a, b) join made one.
+
+    Only edges between components are left to contract, so a wave's rounds follow what it adds. A
+    component may hold a third of all nodes: its new name is looked up through SALTS copies.
+    """
+    of = nodes.select("node", "component")
+    ends = edges.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # (staged, not checkpointed: a checkpoint keeps its plan's constraints, which grow with each round)
+    found = components(staged(ends.where("ca <> cb").select("ca", "cb"), "near-edges"), "ca", "cb").toDF("old", "to").where("old <> to").withColumn("salt", salts)
+    salted = nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    named = salted.join(found, (F.col("component") == F.col("old")) & (F.col("part") == F.col("salt")), "left")
+    return staged(named.withColumn("component", F.coalesce("to", "component")).select(*nodes.columns), "near-nodes")
+
+
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, bits: int = 3) -> DataFrame:
     """(doc_id, text_hash, digest, component) of every row of (doc_id, text); text_hash is the text's MD5.
 
@@ -184,18 +201,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, bits: int =
     nodes = checkpointed(grouped.withColumn("node", F.xxhash64("digest")))
     by_fp = checkpointed(own.groupBy("fp").agg(F.min(F.xxhash64("digest")).alias("node")))
     same_fp = own.select(F.xxhash64("digest").alias("a"), "fp").distinct().join(by_fp, "fp").select("a", F.col("node").alias("b"))
-    # (staged, not checkpointed: a checkpoint keeps its plan's constraints, which grow with each round of each wave)
-    edges = staged(simhash.links(by_fp, bits).unionByName(same_fp).where("a <> b"), "near-edges")
-
-    def named() -> DataFrame:
-        found = components(edges).withColumnRenamed("component", "to")
-        return checkpointed(nodes.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("to", "node")).drop("to"))
-
-    nodes = named()
-    for a, b in ((0, FIRST), (FIRST, BANDS)):
-        members = checkpointed(_members(nodes, a, b))
+    nodes = _joined(nodes.withColumn("component", F.col("node")), staged(simhash.links(by_fp, bits).unionByName(same_fp), "near-edges"))
+    for first_band, end in ((0, FIRST), (FIRST, BANDS)):
+        members = checkpointed(_members(nodes, first_band, end))
         rows = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.text_hash").toDF("node", "of", "hash")
         texts = d.join(rows, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("hash"))).dropDuplicates(["node"])
-        edges = staged(edges.unionByName(_links(members, checkpointed(_sets(texts, width)), least)), "near-edges")
-        nodes = named()
+        nodes = _joined(nodes, staged(_links(members, checkpointed(_sets(texts, width)), least), "near-edges"))
     return own.select("doc_id", "text_hash", "digest").join(nodes.select("digest", "component"), "digest")
