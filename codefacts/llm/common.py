@@ -130,10 +130,11 @@ _ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the least node reachable.
 
-    Each round maps a node to that of itself and its neighbours whose hash of the round is least,
-    and contracts the edges along that map; as the order is random, paths and trees of any numbering
-    shrink by a constant share. The maps compose backwards to one root for each component, whose
-    least member is then named. Nothing is collected: a round ends when no edge is left.
+    Each round maps a node to that of itself, its neighbours and theirs whose hash of the round is
+    least, and contracts the edges along that map: a star is done in one round, and as the order is
+    random, paths and trees of any numbering shrink by a constant share. The maps compose backwards
+    to one root for each component, whose least member is then named. Nothing is collected: the
+    rounds end when no edge is left.
     """
     e = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     maps: list[DataFrame] = []
@@ -142,7 +143,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn), "b")).alias("m"))
         own = F.struct(F.xxhash64("a", turn), F.col("a").alias("b"))
-        least = checkpointed(least.select(F.col("a").alias("node"), F.least(own, "m")["b"].alias("to")))
+        least = checkpointed(least.select(F.col("a").alias("b"), F.least(own, "m").alias("m")))
+        least = checkpointed(both.join(least, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.col("m")["b"].alias("to")))
         maps.append(least)
         e = checkpointed(
             e.join(least.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")
