@@ -7,8 +7,10 @@ only kinds and children whose text a check reads have one.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +33,19 @@ PURE_CALLS = {"strlen", "count", "sizeof", "in_array", "is_array", "is_string",
 TEXTS = {"Nop", "Float", "Call", "Array", "Param", "Assign", "Comment"}
 #: Longer lines aren't repeated in each of their nodes' rows; findings look them up (``with_context``).
 CONTEXT = 500
+#: Kinds with a scope of their own, kinds around one value, kinds of names without regard to case, attributes that leave the meaning as it is.
+CLASSES, FUNCTIONS, WRAPPERS, ANY_CASE = {"Class", "Interface", "Trait", "Enum"}, {"Function", "Method"}, {"Arg", "Item", "Paren"}, {"Name", "Call", "Const"}
+LOOKS = {"long", "quote", "keyword", "raw", "raw_modifiers"}
 EQUALITY = {"==", "!=", "===", "!=="}  # of Binary
 CHILD_TEXTS = {"Param": {"type", "default"}, "Assign": {"left"}, "Index": {"base", "dim"}, "Call": {"arg"}, "Ternary": {"cond", "then", "else"}, "Item": {"key"}, "Case": {"cond"}}
 
 
-def rows(path: str, content: str) -> Iterator[dict]:
-    """The node rows of one file; a file that doesn't parse has one row of kind SyntaxError."""
+#: Bounds of what a task remembers: so many rows, of texts no longer than this.
+MEMO, MEMO_CHARS = 20_000, 2_000
+
+
+def rows(content: str) -> list[tuple]:
+    """The node rows of one file, without its path; a file that doesn't parse has one row of kind SyntaxError."""
     try:
         tree, comments = parse(content)
     except (ParseError, RecursionError) as e:
@@ -44,90 +53,111 @@ def rows(path: str, content: str) -> Iterator[dict]:
         tree, comments = Node("SyntaxError", at, at + 1, attrs={"message": str(e)}), []
     for c in comments:
         tree.parts.append(("comment", Node("Comment", c.start, c.end, attrs={"doc": "1"} if c.kind == "doc" else {})))
-    breaks = [-1] + [i for i, ch in enumerate(content) if ch == "\n"]
     lines = content.split("\n")
-    import bisect
-
-    def place(at: int) -> tuple[int, int]:
-        k = bisect.bisect_left(breaks, at) - 1
-        return k + 1, at - breaks[k] - 1
-
-    out: list[dict] = []
+    breaks = [-1, *accumulate((len(x) + 1 for x in lines[:-1]), initial=-1)][1:]
+    out: list[tuple] = []
 
     def visit(n: Node, parent: int, above: Node | None, role: str, ord_: int, ns: str, cls: str, fn: str) -> tuple[str, bool]:
         me = len(out)
-        row: dict = {}
-        out.append(row)
-        if n.kind == "Namespace":
-            ns = n.attrs.get("name", "")
-        if n.kind in ("Class", "Interface", "Trait", "Enum"):
-            cls, fn = f"{ns}\\{n.attrs.get('name') or f'class@{n.start}'}".lstrip("\\"), ""
-        elif n.kind in ("Function", "Method"):
-            fn = (f"{cls}::{n.attrs['name']}" if n.kind == "Method" else f"{ns}\\{n.attrs['name']}").lstrip("\\")
+        out.append(())
+        what, attrs = n.kind, n.attrs
+        if what == "Namespace":
+            ns = attrs.get("name", "")
+        if what in CLASSES:
+            cls, fn = f"{ns}\\{attrs.get('name') or f'class@{n.start}'}".lstrip("\\"), ""
+        elif what in FUNCTIONS:
+            fn = (f"{cls}::{attrs['name']}" if what == "Method" else f"{ns}\\{attrs['name']}").lstrip("\\")
         child: dict[str, str] = {}
         counts: dict[str, int] = {}
-        pure = n.kind not in EFFECTS and not (n.kind == "Call" and n.attrs.get("name", "").lower().lstrip("\\") not in PURE_CALLS)
+        pure = what not in EFFECTS and not (what == "Call" and attrs.get("name", "").lower().lstrip("\\") not in PURE_CALLS)
         below = []
+        texts = CHILD_TEXTS.get(what, ())
         for k, (r, x) in enumerate(n.parts):
             h, p = visit(x, me, n, r, k, ns, cls, fn)
-            if x.kind == "Namespace" and not x.parts:
+            below_kind = x.kind
+            if below_kind == "Namespace" and not x.parts:
                 ns = x.attrs.get("name", "")  # of all that follows
             if r == "comment":
                 continue
             below.append(f"{r}:{h}")
-            pure &= p
+            pure = pure and p
             i = counts.get(r, 0)
             counts[r] = i + 1
             if i < 3:
-                key = r if not i else f"{r}{i}"
-                inner = x.parts[0][1] if x.kind in ("Arg", "Item", "Paren") and x.parts else x
-                child[f"{key}.kind"], child[f"{key}.hash"] = x.kind, h
+                key = f"{r}{i}" if i else r
+                inner = x.parts[0][1] if below_kind in WRAPPERS and x.parts else x
+                child[f"{key}.kind"], child[f"{key}.hash"] = below_kind, h
                 if r == "cond":
-                    child[f"{key}.pure"] = str(int(p))
-                if r in CHILD_TEXTS.get(n.kind, ()):
+                    child[f"{key}.pure"] = "1" if p else "0"
+                if r in texts:
                     child[f"{key}.text"] = content[x.start : x.end]
                 if inner is not x:
                     child[f"{key}.inner"] = inner.kind
-                for name in ("name", "value", "op", "text", "default"):
-                    if name in inner.attrs:
-                        child[f"{key}.{name}"] = inner.attrs[name]
+                if inner.attrs:
+                    for name in ("name", "value", "op", "text", "default"):
+                        if name in inner.attrs:
+                            child[f"{key}.{name}"] = inner.attrs[name]
         for r, k in counts.items():
             child[f"{r}.n"] = str(k)
         for r, flag in (("arg", "spread"), ("case", "default")):
-            if any(s == r and flag in x.attrs for s, x in n.parts):
+            if r in counts and any(s == r and flag in x.attrs for s, x in n.parts):
                 child[f"{r}.any_{flag}"] = "1"
-        if n.kind == "Array":
+        if what == "Array":
             child |= {f"item.{'keyed' if any(s == 'key' for s, _ in x.parts) else 'unkeyed'}": "1" for r, x in n.parts if r == "item"}
-        fixed = ",".join(f"{k}={v.lower() if n.kind in ('Name', 'Call', 'Const') else v}" for k, v in sorted(n.attrs.items()) if k not in ("long", "quote", "keyword", "raw", "raw_modifiers"))
-        digest = md5(f"{n.kind}({fixed})[{'|'.join(below)}]".encode()).hexdigest()
-        line, char = place(n.start)
-        last = place(max(n.end - 1, n.start))
-        row |= {"path": path, "node_id": me, "parent_id": parent, "last_id": len(out) - 1, "ord": ord_, "role": role, "kind": n.kind, "parent_kind": above.kind if above else "", "parent_bare": above.attrs.get("bare", "") if above else "", "ns": ns, "cls": cls, "fn": fn, "attrs": list(n.attrs.items()), "kids": list(child.items()), "hash": digest, "pure": pure, "text": content[n.start : n.end] if n.kind in TEXTS or n.kind == "Binary" and n.attrs.get("op") in EQUALITY else None, "doc": n.doc, "start_line": line, "end_line": last[0], "start_char": char, "end_char": last[1] + 1 if last[0] == line else len(lines[line - 1]), "start_pos": n.start, "end_pos": n.end, "context": lines[line - 1] if len(lines[line - 1]) <= CONTEXT else None}
+        fixed = ",".join([f"{k}={v.lower() if what in ANY_CASE else v}" for k, v in sorted(attrs.items()) if k not in LOOKS]) if attrs else ""
+        digest = md5(f"{what}({fixed})[{'|'.join(below)}]".encode()).hexdigest()
+        start, end = n.start, n.end
+        at = bisect_left(breaks, start) - 1
+        last_at = max(end - 1, start)
+        last = bisect_left(breaks, last_at, at) - 1 if last_at > start else at
+        line = lines[at]
+        text = content[start:end] if what in TEXTS or what == "Binary" and attrs.get("op") in EQUALITY else None
+        out[me] = (
+            me, parent, len(out) - 1, ord_, role, what, above.kind if above else "", above.attrs.get("bare", "") if above else "", ns, cls, fn, list(attrs.items()), list(child.items()), digest, pure, text, n.doc,
+            at + 1, last + 1, start - breaks[at] - 1, last_at - breaks[last] if last == at else len(line), start, end, line if len(line) <= CONTEXT else None,
+        )
         return digest, pure
 
     visit(tree, -1, None, "", 0, "", "", "")
-    yield from out
+    return out
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node rows of batches of (path, content). Short texts that were met before, as guards and copies are, aren't parsed again."""
+    import sys
+
+    sys.setrecursionlimit(DEEP)
+    schema = pa.schema(_TYPES)
+    paths: list[str] = []
+    held: list[tuple] = []
+    met: dict[str, list[tuple]] = {}
+    in_met = 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip([paths, *zip(*held, strict=True)], _TYPES, strict=True)], schema=schema)
+
+    for batch in batches:
+        for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            content = content or ""
+            if (found := met.pop(content, None)) is None:
+                found = rows(content)
+                in_met += len(found) if len(content) <= MEMO_CHARS else 0
+            if len(content) <= MEMO_CHARS:
+                met[content] = found  # the last one met is the last to go
+                while in_met > MEMO:
+                    in_met -= len(met.pop(next(iter(met))))
+            held += found
+            paths += [path] * len(found)
+            if len(held) > 20_000:
+                yield done()
+                paths, held = [], []
+    if held:
+        yield done()
 
 
 def nodes(files: DataFrame) -> DataFrame:
     """A row for each node of (path, content); a null content is an empty file. Files are parsed independently: no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(DEEP)
-        schema = pa.schema(_TYPES)
-        held: list[dict] = []
-        for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held += rows(path, content or "")
-                if len(held) > 20_000:
-                    yield pa.RecordBatch.from_pylist(held, schema=schema)
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-
-    return files.select("path", "content").mapInArrow(run, NODES)
+    return files.select("path", "content").mapInArrow(batches_of, NODES)
 
 
 def with_context(found: DataFrame, files: DataFrame) -> DataFrame:
