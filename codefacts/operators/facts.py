@@ -161,13 +161,13 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def with_context(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings with the whole line as context where a row held none; only files with such lines are joined."""
+    """Findings with the whole line as context where a row held none. They are computed once: one outer join adds the lines of files that have such lines."""
     from pyspark.sql import functions as F
 
     lines = F.split("content", "\n", -1)
     long = files.where(F.exists(lines, lambda x: F.length(x) > CONTEXT)).select(F.col("path").alias("_path"), lines.alias("_lines"))
-    missing = found.where("context IS NULL").join(long, F.col("filename") == F.col("_path"), "left")
-    return found.where("context IS NOT NULL").unionByName(missing.withColumn("context", F.get("_lines", F.col("line") - 1)).select(found.columns))
+    j = found.join(long, (F.col("filename") == F.col("_path")) & F.col("context").isNull(), "left")
+    return j.withColumn("context", F.coalesce("context", F.get("_lines", F.col("line") - 1))).select(found.columns)
 
 
 def cached(files: DataFrame, at: str) -> DataFrame:

@@ -230,7 +230,7 @@ def arguments(nodes: DataFrame) -> DataFrame:
     swapped = calls.where("n_args >= 2").join(first, F.col("called") == F.col("f0")).join(second, F.col("called") == F.col("f1")).where("first_arg = n1 AND second_arg = n0")
     swapped = swapped.select("path", F.col("parent_id").alias("node_id"), "n0", "n1")
     return finding(j.where(strict), "notNullSafetyFunctionArgumentConstFetch", WARNING, text_of("null passed to non-nullable parameter %s in function %s", F.col("p_name"), F.col("called"))).unionByName(
-        finding(nodes.join(swapped, ["path", "node_id"]), "argsReverse", WARNING, text_of("Perhaps the arguments are swapped: $%s is the second parameter", F.col("n1")))
+        finding(nodes.where(kind("Call")).join(swapped, ["path", "node_id"]), "argsReverse", WARNING, text_of("Perhaps the arguments are swapped: $%s is the second parameter", F.col("n1")))
     )
 
 

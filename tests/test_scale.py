@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codefacts.operators import checks, facts
 from codefacts.plans import cases
 from codefacts.plans.sample import FILES
-from codefacts.session import cut
+from codefacts.session import cut, kept
 from codefacts.sources import files as sources
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,18 @@ def test_kinds_of_checks_lose_nothing(spark):
     for x in checks.structural():
         if x.kinds:
             assert nodes.where(~F.col("kind").isin(*x.kinds) & x.when).isEmpty(), x.name
+
+
+def test_findings_are_computed_once_for_their_contexts(spark):
+    files = sources.buffers(spark, {"a.php": "<?php\n$a = $a;\n", "b.php": "<?php\n$b = '" + "x" * 600 + "'; $a = $a;\n"})
+    found = facts.with_context(checks.run(facts.nodes(files)), files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.filename, len(r.context)) for r in found.where("check_name = 'selfAssign'").collect()) == [("a.php", 8), ("b.php", 617)]
+
+
+def test_kept_rows_are_the_same_and_skip_by_kind(spark):
+    nodes = facts.nodes(sources.buffers(spark, FILES))
+    stored = kept(nodes, "kind")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, nodes.collect()))
+    assert "EqualTo(kind,Call)" in stored.where("kind = 'Call'")._jdf.queryExecution().executedPlan().toString()
+    assert kept(nodes.where("kind = 'none'"), "kind").isEmpty()
