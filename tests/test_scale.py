@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codefacts.operators import checks, facts
-from codefacts.plans import cases
+from codefacts.plans import cases, lint
 from codefacts.plans.sample import FILES
 from codefacts.session import cut, kept
 from codefacts.sources import files as sources
@@ -54,3 +54,10 @@ def test_kept_rows_are_the_same_and_skip_by_kind(spark):
     assert sorted(map(str, stored.collect())) == sorted(map(str, nodes.collect()))
     assert "EqualTo(kind,Call)" in stored.where("kind = 'Call'")._jdf.queryExecution().executedPlan().toString()
     assert kept(nodes.where("kind = 'none'"), "kind").isEmpty()
+
+
+def test_a_report_holds_no_plan_of_its_checks(spark):
+    files = sources.buffers(spark, {"a.php": "<?php\n$a = $a;\nf();\n"})
+    found = lint.report(files, cut(facts.nodes(files)), disabled=[])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
+    assert {"selfAssign", "undefinedFunction"} <= {r.check_name for r in found.collect()}
