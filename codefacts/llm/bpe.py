@@ -26,7 +26,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(tokenizer)
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep=True):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, 4_000_000):
                 ids = model.encode(texts[a:b])

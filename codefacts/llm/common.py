@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from codefacts.llm import tokens
+
 _OWN: dict[str, str] = {}
 
 
@@ -78,13 +80,26 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that only some rows are Python objects at a time; at the end freed memory is given back."""
+def given_back() -> None:
+    """Freed memory back to the system: Arrow's and the allocator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that only some rows are Python objects at a time; at the end freed memory is given back.
+
+    Workers outlive their tasks: unless ``keep``, vocabularies that an earlier task loaded are given up first.
+    """
+    if not keep and tokens._LOADED:
+        tokens.forget()
+        given_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    with contextlib.suppress(OSError, AttributeError):  # only glibc can
-        ctypes.CDLL(None).malloc_trim(0)
+    batch = None
+    given_back()
 
 
 def chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -7,7 +7,7 @@ where the language lacks it. N-grams are integers, counted by sorting arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from codefacts.llm.common import annotated, sliced, spread
 
 SIZE = 300
 STEP = 1 << 20  # places counted at once
+HELD = 1 << 18  # n-grams of texts that wait to be added up, in all languages together
 _LETTER: list[np.ndarray] = []
 
 
@@ -56,6 +57,37 @@ def _grams(c: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
     return every[start], np.diff(start, append=len(every))
 
 
+def added_up(rows: Iterable[tuple[str, str]], most: int = HELD, whole: int = 500_000) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, n-grams, counts) of rows of (text, language), in parts that add up to the counts of all rows.
+
+    What waits is added up as soon as it is ``most`` n-grams, and as many as the sums have, however
+    long or many the texts; sums of more than ``whole`` n-grams of a language go out.
+    """
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = total = 0
+
+    def add(name: str) -> None:
+        parts = [*([sums[name]] if name in sums else []), *waiting.pop(name)]
+        codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        sums[name] = codes, np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    for text, name in rows:
+        found = grams(text)
+        waiting.setdefault(name, []).append(found)
+        size += len(found[0])
+        if size >= max(most, total):
+            for each in list(waiting):
+                add(each)
+                if len(sums[each][0]) > whole:
+                    yield each, *sums.pop(each)
+            size, total = 0, sum(len(codes) for codes, _ in sums.values())
+    for each in list(waiting):
+        add(each)
+    for name, (codes, n) in sums.items():
+        yield name, codes, n
+
+
 def profiles(docs: DataFrame, size: int = SIZE, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """The ranked n-grams of each language, counted over all rows with a text and a language.
 
@@ -63,26 +95,9 @@ def profiles(docs: DataFrame, size: int = SIZE, text: str = "text", lang: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-
-        def out(name: str) -> pa.RecordBatch:
-            codes, back = np.unique(np.concatenate([c for c, _ in held[name]]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([m for _, m in held[name]])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-        for batch in sliced(batches):
-            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(name, []).append(grams(t))
-                if len(held[name]) >= 2000:
-                    merged = out(name)
-                    if len(merged) > 500_000:
-                        yield merged
-                        held[name] = []
-                    else:
-                        held[name] = [(merged.column(1).to_numpy().view(np.uint64), merged.column(2).to_numpy())]
-        for name in list(held):
-            if held[name]:
-                yield out(name)
+        rows = (row for batch in sliced(batches) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for name, codes, n in added_up(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     d = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counted = spread(d).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -32,7 +32,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = 2, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, start, part = bpe(tokenizer), 0, TaskContext.get().partitionId()
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep=True):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, 4_000_000):
                 ids = [x + tail for x in model.encode(texts[a:b])]
@@ -62,7 +62,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int | No
         base[part], at = at, at + totals[part]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep=True):
             first = np.array([base[p] for p in batch.column(0).to_pylist()], dtype=np.int64) + batch.column(2).to_numpy()
             n = batch.column(3).to_numpy()
             pieces = np.where(n > 0, (first + n - 1) // length - first // length + 1, 0)

@@ -128,7 +128,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         records = tokens = at = 0
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
         data = index = None
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep=True):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
             for a, b in chunks(texts, 4_000_000):

@@ -416,8 +416,13 @@ class Bpe:
         return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
+def forget() -> None:
+    """Give up the vocabularies that this worker has loaded, with all that they remember."""
+    _LOADED.clear()
+
+
 def bpe(path: str) -> Bpe:
-    """The vocabulary at path, loaded once in each worker."""
+    """The vocabulary at path, loaded once in each worker and kept until an operator without one runs there."""
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]

@@ -159,6 +159,36 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in identified(table(spark, rows), profiles(table(spark, []))).collect()} == {"und"}
 
 
+def test_language_counts_in_parts():
+    rng = np.random.default_rng(4)
+    texts = [("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(0, 60))), "abc"[int(k)]) for k in rng.integers(0, 3, 300)]
+    want = {}
+    for t, lang in texts:
+        for g, n in zip(*(x.tolist() for x in grams(t))):
+            want[lang, g] = want.get((lang, g), 0) + n
+    for most, whole in ((1, 1), (50, 200), (1000, 10**6), (10**9, 10**9)):
+        got, parts = {}, list(langid.added_up(iter(texts), most, whole))
+        for lang, codes, n in parts:
+            assert len(set(codes.tolist())) == len(codes)
+            for g, k in zip(codes.tolist(), n.tolist()):
+                got[lang, g] = got.get((lang, g), 0) + k
+        assert got == want and (len(parts) == 3) == (whole > 10**5)
+    assert list(langid.added_up(iter([]))) == []
+
+
+def test_language_counting_holds_little():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = "".join(chr(97 + x) for x in rng.integers(0, 26, 20_000))
+    tracemalloc.start()
+    (_, codes, n), = langid.added_up((text, "x") for _ in range(300))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == (300 * grams(text)[1]).tolist() and codes.tolist() == grams(text)[0].tolist()
+    assert peak < 30e6 < 300 * 16 * len(codes)  # which holding each text's n-grams takes
+
+
 def test_rank_order_distance():
     text, other = "the theme of the thing", "la la land"
     m = Ranks({"x": grams(text)[0][:5], "y": grams(other)[0][:5]}, 5)

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from codefacts.llm.bpe import round_trip
-from codefacts.llm.common import shared_path
+from codefacts.llm.common import shared_path, sliced
 from codefacts.llm.packing import boundaries, packed, padded_length
 from codefacts.llm.records import crc32c, frames, read_records, token_records, unframes, write_records
 from codefacts.llm.tokens import Bpe, bpe
@@ -71,6 +72,28 @@ def test_what_a_worker_remembers_is_bounded(monkeypatch):
     assert all(len(x) < 80 for x in (b.cache, b.pieces)) and len(b.others) == 0
 
 
+def test_operators_without_a_vocabulary_give_up_those_a_worker_has(spark):
+    """The same workers pack first and learn languages after that."""
+    import codefacts.llm.tokens as tokens
+    from codefacts.llm.langid import identified, profiles
+
+    def loaded(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [len(tokens._LOADED)]})
+
+    d = spark.createDataFrame([(0, "the cat and the dog", "en")], "doc_id long, text string, lang string").coalesce(1)
+    # the workers of a session: enough tasks at once to meet each of them
+    seen = lambda: {r.pid: r.n for r in spark.range(400).repartition(40).mapInArrow(loaded, "pid long, n long").collect()}
+    many = d.crossJoin(spark.range(400).select("id")).drop("id").repartition(40)
+    packed(many, WORD).count()
+    assert any(seen().values())
+    identified(many, profiles(many)).count()
+    assert not any(seen().values())
+    bpe(WORD)
+    assert list(sliced(iter([]), keep=True)) == [] and tokens._LOADED
+    assert list(sliced(iter([]))) == [] and not tokens._LOADED
+
+
 def test_decode():
     b, t = bpe(BYTE), Tokenizer.from_file(BYTE)
     for ids in library(BYTE)(ODD) + [[50256, 0, 220], [447, 447, 12]]:
